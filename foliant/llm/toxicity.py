@@ -16,7 +16,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +46,14 @@ def pieces(word: str) -> set[str]:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.weights, self.bias, self.memory = weights, bias, {}
+    def __init__(self, weights: dict[str, float], bias: float, memory: int = MEMORY) -> None:
+        self.weights, self.bias, self.most, self.memory = weights, bias, memory, {}
 
     def word(self, word: str) -> tuple[str, ...]:
         """The kept features of a word."""
         out = self.memory.get(word)
         if out is None:
-            if len(self.memory) >= MEMORY:
+            if len(self.memory) >= self.most:
                 self.memory.clear()
             out = self.memory[word] = tuple(sorted(f for f in pieces(word) if f in self.weights))
         return out
@@ -86,13 +85,14 @@ class Model:
 
 def choose_features(docs: list[tuple[str, int]]) -> dict[str, int]:
     """Features whose document counts speak for toxicity most, numbered."""
-    grams = lru_cache(1 << 18)(pieces)
-    seen, toxic = Counter(), Counter()
+    toxic = Counter()
     for text, label in docs:
-        features = set().union(*map(grams, set(WORD.findall(text.lower()))))
-        seen.update(features)
         if label:
-            toxic.update(features)
+            toxic.update(set().union(*map(pieces, set(WORD.findall(text.lower())))))
+    toxic = {f: a for f, a in toxic.items() if a >= MIN_TOXIC_DOCS}
+    chooser, seen = Model(toxic, 0.0, memory=50_000), Counter()
+    for text, _ in docs:
+        seen.update({f for w in set(WORD.findall(text.lower())) for f in chooser.word(w)})
     n, t = len(docs), sum(y for _, y in docs)
 
     def xlogx(*x: float) -> float:
@@ -101,7 +101,7 @@ def choose_features(docs: list[tuple[str, int]]) -> dict[str, int]:
     scored = []
     for f, a in toxic.items():
         b = seen[f] - a
-        if a >= MIN_TOXIC_DOCS and a * (n - t) > b * t:
+        if a * (n - t) > b * t:
             llr = 2 * (xlogx(a, b, t - a, n - t - b) + xlogx(n) - xlogx(a + b, n - a - b) - xlogx(t, n - t))
             if llr >= MIN_LLR:
                 scored.append((-llr, f))
