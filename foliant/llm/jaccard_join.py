@@ -6,15 +6,17 @@ bound is too small for the threshold are never looked at; the rest are verified
 
 How it is spread out:
 
-1. All shingles are counted into ``BUCKETS`` hashed counts, the frequency order. It affects speed, never the result.
-2. Two sets at the threshold share one of the rarest ``n - ceil(t * n) + 1`` shingles of each, so every set is sent to
-   those keys with its size and its point. A task sends equal sets once. Keys with more than ``HOT`` sets are cut into
-   blocks that meet in pairs.
+1. A set with more than ``(1 - t) * n`` shingles that no other set has is linked with nothing. The shingles of one hash
+   class, a fixed share of all hashes, are counted over all documents; sets that have so many unique ones in it alone
+   are done. A task sends equal sets once and a shingle once, so frequent shingles stay small.
+2. The other sets are counted into ``BUCKETS`` hashed counts, the frequency order. It affects speed, never the result.
+   Two sets at the threshold share one of the rarest ``n - ceil(t * n) + 1`` shingles of each, so every set is sent to
+   those keys with its size and its point. Keys with more than ``HOT`` sets are cut into blocks that meet in pairs.
 3. Within a key, an R-tree over the points (boxes of sizes and largest counts) finds the pairs that pass the bound.
    They are recorded as a forest: a pair that the task has already connected adds nothing.
 4. The forests' components are clusters of candidates, which hold every true link. In each, pairs are verified on the
    sets, skipping those already connected. In clusters of more than ``BLOCK`` sets all are first compared with one
-   pivot; what links to it is connected, so that only the others still meet blocks of the rest.
+   pivot, and the triangle inequality leaves only some blocks to meet in pairs.
 
 Nothing is sampled or capped and no pair is lost; hot keys and clusters are split, not gathered. Equal sets share a
 node (a 64-bit hash of the set) and meet their documents again in one join at the end.
@@ -38,6 +40,9 @@ from foliant.llm.common import connected_components, drop_table, materialise, pa
 
 GROUPS = 32
 BUCKETS = 1 << 17
+#: Share of all hashes whose shingles are counted, as a multiple of 1 - t; and how many a task holds at once.
+CLASS_SHARE = 2.5
+CHUNK = 1 << 20
 HOT = 8_192
 BLOCK = 128
 LEAF = 32
@@ -68,9 +73,20 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+def scale(n):
+    """Unit in which a set of n shingles counts its groups, so that a byte holds a count."""
+    return 1 + n // 4096
+
+
 def point(own: np.ndarray) -> np.ndarray:
-    """Group counts; 255 stands for that or more."""
-    return np.minimum(np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
+    """Group counts in units, rounded up; 255 stands for that or more."""
+    counts = np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(-(-counts // scale(len(own))), 255).astype(np.uint8)
+
+
+def counts_of(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Upper bounds of the group counts of points in rows."""
+    return np.where(v == 255, n[:, None], np.minimum(v * scale(n)[:, None], n[:, None])).astype(np.int32)
 
 
 def node_of(own: np.ndarray) -> int:
@@ -95,14 +111,18 @@ class Rule:
         return (self.num + self.den) * shared >= self.num * total
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        return self.nearness(a, b) == 0
+
+    def nearness(self, a: np.ndarray, b: np.ndarray) -> int:
+        """0: similar, 1: at up to twice the distance that this allows, 2: farther."""
         both = len(np.intersect1d(a, b, assume_unique=True))
-        return self.den * both >= self.num * (len(a) + len(b) - both)
+        every = len(a) + len(b) - both
+        return 0 if self.den * both >= self.num * every else 1 if self.den * both >= (2 * self.num - self.den) * every else 2
 
 
 def bound_ok(rule: Rule, va: np.ndarray, na, vb: np.ndarray, nb) -> np.ndarray:
-    """The count bound for points in rows; a full count in both may be any number."""
-    low = np.minimum(va, vb)
-    return rule.overlap(low.sum(axis=-1, dtype=np.int64), na + nb) | (low == 255).any(axis=-1)
+    """The count bound for points in rows."""
+    return rule.overlap(np.minimum(va, vb).sum(axis=-1, dtype=np.int64), na + nb)
 
 
 class CountTree:
@@ -182,44 +202,107 @@ def rare_keys(own: np.ndarray, rule: Rule, counts: np.ndarray) -> np.ndarray:
     return own if p >= len(own) else own[rank <= np.partition(rank, p - 1)[p - 1]]
 
 
-def keyed(slim: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
-    """Rows of two kinds: ``doc`` (doc_id, th, node, n) for every document, ``key`` (key, node, n, point) for joining."""
-    shared = slim.sparkSession.sparkContext.broadcast(counts)
-    names = ["kind", "doc_id", "th", "key", "node", "n", "v0", "v1", "v2", "v3"]
+def in_class(own: np.ndarray, rule: Rule) -> np.ndarray:
+    """The shingles of the counted hash class."""
+    return own[((own >> np.uint64(8)) & np.uint64(0xFFFF)) < np.uint64(min(1 << 16, int(CLASS_SHARE * (1 << 16) * (rule.den - rule.num) / rule.den)))]
+
+
+def surveyed(slim: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of three kinds, from one reading of the texts.
+
+    doc (doc_id, th, node, n): every document. sent (node, n, c, s): a set that the task came upon first, its shingles
+    in the class, and how many of them other sets of the task have. hash (key, node): a class shingle and its set, or
+    node 0 where several sets of the task have it.
+    """
+    names = ["kind", "doc_id", "th", "node", "n", "c", "s", "key"]
+
+    def rows(kind: str, many: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * many), *(cols.get(c, pa.nulls(many, pa.int64())) for c in names[1:])], names=names)
+
+    def flush(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        which = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+        keys = np.concatenate([h[2] for h in held])
+        order = np.argsort(keys, kind="stable")
+        keys, which = keys[order], which[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        sizes = np.diff(np.append(np.flatnonzero(new), len(keys)))
+        several = np.repeat(sizes > 1, sizes)
+        shared = np.bincount(which[several], minlength=len(held))
+        node, n = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
+        yield rows("sent", len(held), node=pa.array(node), n=pa.array(n), c=pa.array([len(h[2]) for h in held], pa.int64()), s=pa.array(shared))
+        owner = np.where(several, 0, node[which])[new]
+        keys = keys[new].view(np.int64)
+        for a in range(0, len(keys), 16_384):
+            yield rows("hash", len(keys[a : a + 16_384]), key=pa.array(keys[a : a + 16_384]), node=pa.array(owner[a : a + 16_384]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nodes, sizes, keys, which, points = [], [], [], [], []
+            nodes, sizes = [], []
             for t in batch.column("text").to_pylist():
                 own = shingles(t, rule.k)
-                node = node_of(own) if len(own) else 0
-                if len(own) and node not in sent:
-                    sent.add(node)
-                    k = rare_keys(own, rule, shared.value)
-                    keys.append(k)
-                    which.append(np.full(len(k), len(nodes)))
-                    points.append(point(own).view(np.int64))
-                    nodes.append(node)
-                    sizes.append(len(own))
-                else:
-                    nodes.append(node)
-                    sizes.append(len(own))
-                    points.append(np.zeros(4, np.int64))
-            n = len(nodes)
-            nodes, sizes, points = np.array(nodes, np.int64), np.array(sizes, np.int64), np.array(points)
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * n), batch.column("doc_id"), batch.column("th"), none, pa.array(nodes), pa.array(sizes), *[none] * 4], names=names)
-            if keys:
-                keys, which = np.concatenate(keys), np.concatenate(which)
+                nodes.append(node_of(own) if len(own) else 0)
+                sizes.append(len(own))
+                if len(own) and nodes[-1] not in sent:
+                    sent.add(nodes[-1])
+                    held.append((nodes[-1], len(own), in_class(own, rule)))
+                    size += len(held[-1][2])
+                    if size >= CHUNK:
+                        yield from flush(held)
+                        held, size = [], 0
+            yield rows("doc", len(nodes), doc_id=batch.column("doc_id"), th=batch.column("th"), node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()))
+        if held:
+            yield from flush(held)
+
+    return slim.mapInArrow(run, "kind string, doc_id long, th long, node long, n long, c long, s long, key long")
+
+
+def shared_counts(hashes: DataFrame) -> DataFrame:
+    """(node, s): shingles of the node that sets of other tasks have too, by task."""
+    dealt = hashes.repartition(parts(hashes.sparkSession), "key").sortWithinPartitions("key")
+    small_batches(hashes.sparkSession, 65_536)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tab in groups(batches, ["key"]):
+            key, node = tab["key"].to_numpy(), tab["node"].to_numpy()
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            heads = np.flatnonzero(new)
+            sizes = np.diff(np.append(heads, len(key)))
+            other = np.minimum.reduceat(node, heads) != np.maximum.reduceat(node, heads)
+            hit = node[np.repeat(other, sizes)]
+            hit, n = np.unique(hit[hit != 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(n)], names=["node", "s"])
+
+    return dealt.mapInArrow(run, "node long, s long").groupBy("node").agg(F.sum("s").alias("s"))
+
+
+def open_nodes(sent: DataFrame, hashes: DataFrame, rule: Rule) -> DataFrame:
+    """Nodes that may have a link: too few of their shingles in the class are theirs alone."""
+    own = sent.groupBy("node").agg(F.max("n").alias("n"), F.sum("c").alias("c"), F.sum("s").alias("s0"), F.count(F.lit(1)).alias("m"))
+    both = own.join(shared_counts(hashes), "node", "left")
+    least = F.col("n") - F.ceil(F.col("n") * rule.num / F.lit(rule.den)) + 1
+    return both.where(F.col("c") - F.col("s0") - F.coalesce("s", F.lit(0)) < least * F.col("m")).select("node")
+
+
+def keyed(texts: DataFrame, rule: Rule, counts: np.ndarray) -> DataFrame:
+    """(key, node, n, point) of every set, for each of its rarest shingles."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, t in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = shingles(t, rule.k)
+                keys, v = rare_keys(own, rule, shared.value).view(np.int64), point(own).view(np.int64)
                 for a in range(0, len(keys), 16_384):
-                    k, w = keys[a : a + 16_384], which[a : a + 16_384]
-                    none = pa.nulls(len(k), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(["key"] * len(k)), none, none, pa.array(k.view(np.int64)), pa.array(nodes[w]), pa.array(sizes[w]), *(pa.array(points[w, i]) for i in range(4))], names=names)
+                    n = len(keys[a : a + 16_384])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + n]), *(pa.array(np.full(n, x)) for x in (node, len(own), *v))], names=["key", "node", "n", "v0", "v1", "v2", "v3"])
 
-    return slim.mapInArrow(run, "kind string, doc_id long, th long, key long, node long, n long, v0 long, v1 long, v2 long, v3 long")
+    return texts.mapInArrow(run, "key long, node long, n long, v0 long, v1 long, v2 long, v3 long")
 
 
 class Forest:
@@ -268,6 +351,7 @@ def pairs_of(tab: pa.Table, by: list[str], rule: Rule, forest: Forest) -> list[t
     """New connections among candidate pairs of the groups in ``tab``."""
     node, n = tab["node"].to_numpy(), tab["n"].to_numpy()
     v = np.ascontiguousarray(np.stack([tab[f"v{i}"].to_numpy() for i in range(4)], axis=1)).view(np.uint8)
+    v = counts_of(v.reshape(len(node), GROUPS), n)
     cols = [tab[c].to_numpy() for c in by]
     new = np.ones(len(node), bool)
     new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
@@ -326,76 +410,85 @@ def candidate_forest(keys: DataFrame, rule: Rule, hot: int = HOT) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """node, root and the set of each wanted node. wanted: node, root, doc_id, th."""
-    spark = docs.sparkSession
-    right = wanted.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "node", "root")
-    if wanted.count() <= BROADCAST_ROWS:
+def texts_of_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and text of each wanted node; texts take less room than their sets. wanted: node, doc_id, th."""
+    right = wanted.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "node")
+    n = wanted.count()
+    if n <= BROADCAST_ROWS:
         right = F.broadcast(right)
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), th.alias("th"))
-    got = slim.join(right, (F.col("th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "root", "text")
-    small_batches(spark)
+    got = materialise(docs.join(right, (F.col("th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "text"))
+    return got if got.count() == n else materialise(got.dropDuplicates(["node"]))  # rows alike in id and text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingles(t, rule.k) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "root", "n", "own"])
 
-    return got.mapInArrow(run, "node long, root long, n long, own binary")
+class Recent:
+    """Sets of the texts asked for last."""
+
+    def __init__(self, rule: Rule, most: int = 16) -> None:
+        self.rule, self.most, self.sets = rule, most, {}
+
+    def get(self, key: int, text: str) -> np.ndarray:
+        if key not in self.sets:
+            if len(self.sets) >= self.most:
+                self.sets.clear()
+            self.sets[key] = shingles(text, self.rule.k)
+        return self.sets[key]
 
 
-def verified(sets: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between truly linked nodes that connect all that links connect."""
-    spark = sets.sparkSession
+def verified(texts: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between truly linked nodes that connect all that links connect. texts: node, root, text.
+
+    In a large cluster every set's Jaccard distance d from the pivot, a metric, is measured first. With 1 - t = e:
+    d <= e is linked to the pivot (class 0), e < d <= 2e may link to any (class 1), d > 2e cannot link to class 0 by
+    the triangle inequality (class 2).
+    """
+    spark = texts.sparkSession
     small_batches(spark, 256)
     by = ["root", "bi", "bj"]
-    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("__c"))
+    sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("__c"))
     big = materialise(sizes.where(F.col("__c") > block).select("root"))
-    plain = sets if big.isEmpty() else sets.join(big, "root", "left_anti")
-    tasks = plain.select("node", "root", "n", "own", F.lit(-1).alias("cls"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
+    plain = texts if big.isEmpty() else texts.join(big, "root", "left_anti")
+    tasks = plain.select("node", "root", "text", F.lit(-1).alias("cls"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
     near = None
     if not big.isEmpty():
-        pivot = sets.where(F.col("node") == F.col("root")).join(big, "root", "left_semi").groupBy("root").agg(F.min("own").alias("pivot"))
-        crowd = sets.join(big, "root", "left_semi").join(materialise(pivot), "root")
+        pivot = materialise(texts.where(F.col("node") == F.col("root")).join(big, "root", "left_semi").select("root", F.col("text").alias("pivot")))
+        crowd = texts.join(pivot, "root")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            recent = Recent(rule)
             for batch in batches:
-                own, other = (batch.column(c).to_pylist() for c in ("own", "pivot"))
-                ok = [rule.linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(own, other, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "n", "own")), pa.array([0 if x else 1 for x in ok], pa.int32())], names=["node", "root", "n", "own", "cls"])
+                root, text, other = (batch.column(c).to_pylist() for c in ("root", "text", "pivot"))
+                cls = [rule.nearness(shingles(t, rule.k), recent.get(r, p)) for r, t, p in zip(root, text, other, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "text")), pa.array(cls, pa.int32())], names=["node", "root", "text", "cls"])
 
-        crowd = materialise(crowd.mapInArrow(compare, "node long, root long, n long, own binary, cls int"))
+        crowd = materialise(crowd.mapInArrow(compare, "node long, root long, text string, cls int"))
         near = crowd.where((F.col("cls") == 0) & (F.col("node") != F.col("root"))).select(F.col("node").alias("a"), F.col("root").alias("b"))
         count = lambda c: F.ceil(F.sum((F.col("cls") == c).cast("int")) / block).cast("int")
-        n = materialise(crowd.groupBy("root").agg(count(0).alias("__l"), count(1).alias("__r")))
-        own = F.pmod(F.xxhash64("node"), F.when(F.col("cls") == 0, F.col("__l")).otherwise(F.col("__r"))).cast("int")
-        with_n = crowd.join(n, "root").where(F.col("__r") > 0).withColumn("__m", own)
-        zero = lambda m: F.sequence(F.lit(0), m - 1)
-        pair = lambda i, j: F.struct(i.cast("int").alias("bi"), j.cast("int").alias("bj"))
-        # linked ones meet each block of the others (bi >= 0); the others also meet one another (bi < 0)
-        met = F.when(F.col("cls") == 0, F.transform(zero(F.col("__r")), lambda r: pair(F.col("__m"), r))).otherwise(
-            F.concat(
-                F.when(F.col("__l") > 0, F.transform(zero(F.col("__l")), lambda x: pair(x, F.col("__m")))).otherwise(F.array().cast("array<struct<bi:int,bj:int>>")),
-                F.transform(zero(F.col("__r")), lambda r: pair(-1 - F.least(r, F.col("__m")), F.greatest(r, F.col("__m")))),
-            )
-        )
-        tasks = tasks.union(with_n.withColumn("__p", F.explode(met)).select("node", "root", "n", "own", "cls", "__p.bi", "__p.bj"))
+        n = materialise(crowd.groupBy("root").agg(*[count(c).alias(f"__n{c}") for c in range(3)]))
+        cls = F.col("cls")
+        mine = F.pmod(F.xxhash64("node"), F.when(cls == 0, F.col("__n0")).when(cls == 1, F.col("__n1")).otherwise(F.col("__n2"))).cast("int")
+        # blocks are numbered through the classes; a pair of blocks is a task, but none within class 0 or across 0 and 2
+        at = F.when(cls == 0, F.lit(0)).when(cls == 1, F.col("__n0")).otherwise(F.col("__n0") + F.col("__n1")) + mine
+        low = F.when(cls == 2, F.col("__n0")).otherwise(F.lit(0))
+        high = F.when(cls == 0, F.col("__n0") + F.col("__n1")).otherwise(F.col("__n0") + F.col("__n1") + F.col("__n2")) - 1
+        other = F.filter(F.sequence(low, high), lambda j: (cls != 0) | (j >= F.col("__n0")))
+        met = crowd.join(n, "root").where(F.col("__n1") + F.col("__n2") > 0).withColumns({"__m": at, "__o": F.explode(other)})
+        tasks = tasks.union(met.select("node", "root", "text", "cls", F.least("__m", "__o").alias("bi"), F.greatest("__m", "__o").alias("bj")))
     dealt = tasks.repartition(parts(spark), *by).sortWithinPartitions(*by)
 
     def check(tab: pa.Table) -> list[tuple[int, int]]:
         out = []
         cols = [tab[c].to_numpy() for c in by]
         cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-        node, cls, raw = tab["node"].to_numpy(), tab["cls"].to_numpy(), tab["own"].to_pylist()
+        node, cls, text = tab["node"].to_numpy(), tab["cls"].to_numpy(), tab["text"]
         for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(node)], strict=True):
             at = a + np.unique(node[a:b], return_index=True)[1]
-            own = [np.frombuffer(raw[i], np.uint64) for i in at]
-            if len(own) < 2:
+            if len(at) < 2:
                 continue
-            v = np.array([point(s) for s in own])
+            own = [shingles(text[int(i)].as_py(), rule.k) for i in at]
+            n = np.array([len(s) for s in own])
+            v = counts_of(np.array([point(s) for s in own]), n)
             labels = np.where(cls[at] == 0, -1, np.arange(len(at)))  # those linked to the pivot are connected
-            for i, j in CountTree(np.array([len(s) for s in own]), v).join(rule, lambda i, j, own=own: rule.linked(own[i], own[j]), labels):
+            for i, j in CountTree(n, v).join(rule, lambda i, j, own=own: rule.linked(own[i], own[j]), labels):
                 out.append((int(node[at[i]]), int(node[at[j]])))
         return out
 
@@ -415,24 +508,26 @@ def linked_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     small_batches(spark)
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), th.alias("th"))
-    counts = frequency_order(slim, rule)
-    small_batches(spark)
     path = scratch_dir(spark)
-    keyed(slim, rule, counts).write.partitionBy("kind").parquet(path)
-    whole = spark.read.schema("doc_id long, th long, key long, node long, n long, v0 long, v1 long, v2 long, v3 long, kind string").parquet(path)
+    surveyed(slim, rule).write.partitionBy("kind").parquet(path)
+    whole = spark.read.schema("doc_id long, th long, node long, n long, c long, s long, key long, kind string").parquet(path)
     rows = whole.where(F.col("kind") == "doc").select("doc_id", "th", "node", "n")
-    keys = whole.where(F.col("kind") == "key").select("key", "node", "n", "v0", "v1", "v2", "v3")
-    forest = materialise(candidate_forest(keys, rule))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
     full = rows.where(F.col("n") > 0)
+    hashes = whole.where(F.col("kind") == "hash").select("key", "node")
+    few = materialise(open_nodes(whole.where(F.col("kind") == "sent").select("node", "n", "c", "s"), hashes, rule))
+    hashes.scratch_path = f"{path}/kind=hash"
+    drop_table(hashes)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
     nodes = materialise(full.groupBy("node").agg(first.alias("rep")))
-    clusters = materialise(connected_components(forest))
-    members = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
-    wanted = materialise(members.join(nodes, "node").select("node", "root", "rep.doc_id", "rep.th"))
-    sets = materialise(sets_of(docs, wanted, rule).dropDuplicates(["node"]))
-    links = connected_components(verified(sets, rule))
-    drop_table(sets)
-    root = materialise(links)
+    small_batches(spark)
+    texts = texts_of_nodes(slim, materialise(nodes.join(few, "node").select("node", "rep.doc_id", "rep.th")))
+    small_batches(spark)
+    keys = materialise(keyed(texts, rule, frequency_order(texts, rule)))
+    forest = materialise(candidate_forest(keys, rule))
+    drop_table(keys)
+    clusters = connected_components(forest)
+    members = materialise(clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()))
+    root = materialise(connected_components(verified(texts.join(members, "node").select("node", "root", "text"), rule)))
     named = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     best = named.groupBy("root").agg(F.min("rep").alias("rep"))
     final = materialise(named.select("node", "root").join(best, "root").select("node", "rep"))
