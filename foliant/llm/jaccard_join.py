@@ -41,7 +41,7 @@ from foliant.llm.common import connected_components, drop_table, materialise, pa
 GROUPS = 32
 BUCKETS = 1 << 17
 #: Share of all hashes whose shingles are counted, as a multiple of 1 - t; and how many a task holds at once.
-CLASS_SHARE = 2.5
+CLASS_SHARE = 1.8
 CHUNK = 1 << 20
 HOT = 8_192
 BLOCK = 128
@@ -231,8 +231,9 @@ def surveyed(slim: DataFrame, rule: Rule) -> DataFrame:
         shared = np.bincount(which[several], minlength=len(held))
         node, n = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
         yield rows("sent", len(held), node=pa.array(node), n=pa.array(n), c=pa.array([len(h[2]) for h in held], pa.int64()), s=pa.array(shared))
-        owner = np.where(several, 0, node[which])[new]
-        keys = keys[new].view(np.int64)
+        owner = np.where(several, -1, which)[new]
+        by_set = np.argsort(owner, kind="stable")  # a set's rows follow one another, which files and shuffles pack well
+        keys, owner = keys[new].view(np.int64)[by_set], np.append(node, 0)[owner[by_set]]
         for a in range(0, len(keys), 16_384):
             yield rows("hash", len(keys[a : a + 16_384]), key=pa.array(keys[a : a + 16_384]), node=pa.array(owner[a : a + 16_384]))
 
@@ -410,13 +411,16 @@ def candidate_forest(keys: DataFrame, rule: Rule, hot: int = HOT) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def few(side: DataFrame) -> DataFrame:
+    """Broadcast a side of small rows if its size allows."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def texts_of_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of each wanted node; texts take less room than their sets. wanted: node, doc_id, th."""
     right = wanted.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "node")
     n = wanted.count()
-    if n <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    got = materialise(docs.join(right, (F.col("th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "text"))
+    got = materialise(docs.join(few(right), (F.col("th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "text"))
     return got if got.count() == n else materialise(got.dropDuplicates(["node"]))  # rows alike in id and text
 
 
@@ -446,12 +450,13 @@ def verified(texts: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     by = ["root", "bi", "bj"]
     sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("__c"))
     big = materialise(sizes.where(F.col("__c") > block).select("root"))
-    plain = texts if big.isEmpty() else texts.join(big, "root", "left_anti")
+    plain = texts if big.isEmpty() else texts.join(few(big), "root", "left_anti")
     tasks = plain.select("node", "root", "text", F.lit(-1).alias("cls"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
     near = None
     if not big.isEmpty():
-        pivot = materialise(texts.where(F.col("node") == F.col("root")).join(big, "root", "left_semi").select("root", F.col("text").alias("pivot")))
-        crowd = texts.join(pivot, "root")
+        crowd = texts.join(few(big), "root", "left_semi")
+        pivot = materialise(crowd.where(F.col("node") == F.col("root")).select("root", F.col("text").alias("pivot")))
+        crowd = crowd.join(pivot, "root")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             recent = Recent(rule)
@@ -514,20 +519,21 @@ def linked_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     rows = whole.where(F.col("kind") == "doc").select("doc_id", "th", "node", "n")
     full = rows.where(F.col("n") > 0)
     hashes = whole.where(F.col("kind") == "hash").select("key", "node")
-    few = materialise(open_nodes(whole.where(F.col("kind") == "sent").select("node", "n", "c", "s"), hashes, rule))
+    left = materialise(open_nodes(whole.where(F.col("kind") == "sent").select("node", "n", "c", "s"), hashes, rule))
     hashes.scratch_path = f"{path}/kind=hash"
     drop_table(hashes)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
     nodes = materialise(full.groupBy("node").agg(first.alias("rep")))
     small_batches(spark)
-    texts = texts_of_nodes(slim, materialise(nodes.join(few, "node").select("node", "rep.doc_id", "rep.th")))
+    texts = texts_of_nodes(slim, materialise(nodes.join(left, "node").select("node", "rep.doc_id", "rep.th")))
     small_batches(spark)
     keys = materialise(keyed(texts, rule, frequency_order(texts, rule)))
     forest = materialise(candidate_forest(keys, rule))
     drop_table(keys)
     clusters = connected_components(forest)
     members = materialise(clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()))
-    root = materialise(connected_components(verified(texts.join(members, "node").select("node", "root", "text"), rule)))
+    grouped = materialise(texts.join(few(members), "node").select("node", "root", "text"))
+    root = materialise(connected_components(verified(grouped, rule)))
     named = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     best = named.groupBy("root").agg(F.min("rep").alias("rep"))
     final = materialise(named.select("node", "root").join(best, "root").select("node", "rep"))
@@ -550,7 +556,6 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("th") == F.col("rep.th"))
     gone = materialise(found.where(~same).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
     twice = materialise(found.where(same).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > 1).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")))
-    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     match = (F.col("__th") == F.col("__t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
     kept = docs.withColumn("__th", th).join(few(gone), match, "left_anti")
