@@ -20,9 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows (and bytes, where Spark knows the setting) of each Arrow batch."""
+    """Bound the rows (and bytes, where Spark knows the setting) of each Arrow batch and of the Parquet reader's."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(min(4096, rows)))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -239,7 +239,7 @@ def packed_rows(placed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> Da
     n_tokens; ``position_resets`` are the offsets at which position ids start again from 0, one for each segment.
     """
     dealt = placed.select("sequence_id", "offset", "doc_id", "piece", "length", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
-    small_batches(dealt.sparkSession, 2048)
+    small_batches(dealt.sparkSession, 256)
     schema = "sequence_id long, n_tokens long, cu_seqlens array<bigint>, position_resets array<bigint>, doc_ids array<bigint>, pieces array<bigint>, ids_crc32 long, ids binary"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
