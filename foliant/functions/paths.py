@@ -22,7 +22,7 @@ def parse(path: str) -> list[str] | None:
     """Steps of a dot or bracket path; None if it is malformed."""
     text = re.sub(r"\[(?:'([^']*)'|\"([^\"]*)\"|(\d+))\]", lambda m: "." + (m[1] or m[2] or m[3]), path)
     steps = text.split(".")
-    return None if not text or "" in steps or "[" in text or "]" in text else steps
+    return None if not text or any(s == "" or s != "$[]" and ("[" in s or "]" in s) for s in steps) else steps
 
 
 @dataclass(frozen=True)

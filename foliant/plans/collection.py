@@ -73,8 +73,9 @@ class Cursor:
     def _window(self) -> DataFrame:
         df = self._filtered()
         keys = order_columns(df.schema, self.sort)
-        if keys or self.skip or self.limit:
-            df = df.orderBy(*keys, *([F.col(SEQ)] if SEQ in df.columns else []))
+        ties = [F.col(SEQ)] if SEQ in df.columns else []
+        if keys or ties and (self.skip or self.limit):
+            df = df.orderBy(*keys, *ties)
         if self.skip:
             df = df.offset(self.skip)
         return df.limit(self.limit) if self.limit else df
@@ -110,15 +111,12 @@ class Cursor:
 
     def observe(self, callbacks: dict[str, Callable[..., Any]], skip_initial: bool = False, fields: list[str] | None = None) -> Observer:
         """Events between this cursor's results; see ``Observer``."""
-        first = self._window()
-        keys = order_columns(first.schema, self.sort)
 
         def run() -> DataFrame:
-            df = self._window()
-            kept = project(df, {**self.fields, SEQ: 1} if self.fields and any(self.fields.values()) else self.fields, self.key)
-            return kept.drop(SEQ) if not self.sort else kept.drop(SEQ)
+            return project(self._window().drop(SEQ), self.fields, self.key)
 
-        order = [k for k in keys if True] if keys and not self.fields else None
+        shown = run()
+        order = [*order_columns(shown.schema, self.sort), F.col(self.key)]
         return Observer(run, callbacks, order, self.key, skip_initial, fields)
 
 
