@@ -183,7 +183,7 @@ def field_pred(schema: T.StructType, path: str, expression: dict[str, Any], leaf
         elif op == "$expr":
             parts.append(opaque(expr_column(schema, v)))
         elif op == "$where":
-            parts.append(where_pred(v, leaf.column if leaf else None))
+            parts.append(where_pred(v, leaf.column if leaf else None, leaf.kind if leaf else None))
         elif op == "$jsonSchema":
             parts.append(schema_pred(leaf.kind if leaf else None, leaf.column if leaf else None, v))
         else:
@@ -244,16 +244,20 @@ def expr_column(schema: T.StructType, e: Any) -> Column:
     raise ValueError(f"unknown expression {op}")
 
 
-def where_pred(test: Any, value: Column | None) -> Pred:
+def where_pred(test: Any, value: Column | None, kind: T.DataType | None = None) -> Pred:
     """An opt-in Python predicate, run in Arrow batches; text is refused."""
     if not callable(test):
         raise ValueError("$where takes a Python callable; text is not evaluated")
     import pandas as pd
 
-    @F.pandas_udf("boolean")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: bool(test(v)))
+    def batch(x):  # a Series, or a DataFrame where the value is an object
+        values = x.to_dict("records") if isinstance(x, pd.DataFrame) else [None if v is None or v is pd.NA or isinstance(v, float) and v != v else v for v in x]
+        return pd.Series([bool(test(v)) for v in values], dtype="boolean")
 
+    batch.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    if value is not None and isinstance(kind, T.StructType):
+        batch.__annotations__ = {"x": pd.DataFrame, "return": pd.Series}
+    run = F.pandas_udf(batch, "boolean")
     return opaque(run(value if value is not None else F.lit(None)))
 
 
@@ -294,7 +298,7 @@ def compile_pred(selector: dict[str, Any] | None, schema: T.StructType) -> Pred:
         elif key == "$expr":
             parts.append(opaque(expr_column(schema, v)))
         elif key == "$where":
-            parts.append(where_pred(v, F.struct(*[F.col(f"`{n}`") for n in schema.names])))
+            parts.append(where_pred(v, F.struct(*[F.col(f"`{n}`") for n in schema.names]), schema))
         elif key == "$jsonSchema":
             parts.append(schema_pred(schema, F.struct(*[F.col(f"`{n}`") for n in schema.names]), v))
         elif key.startswith("$"):
