@@ -182,8 +182,8 @@ def classify(model: PPM | None, texts: list[str]) -> tuple[list[str], np.ndarray
     return names, np.where(letters, score, 0.0), np.where(letters, least / np.maximum([len(x) for x in raw], 1), 0.0)
 
 
-def predict(docs: DataFrame, model: PPM | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred, score and bits_per_byte of the whole text."""
+def predict(docs: DataFrame, model: PPM | None, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred, score and bits_per_byte of the whole text, under names with ``prefix``."""
     spark = docs.sparkSession
     small_batches(spark)
     keep = docs.columns if keep is None else keep
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: PPM | None, text: str = "text", keep: list[s
 
     schema = ", ".join([*(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names), "__lang string", "__score double", "__bits double"])
     out = slim.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__bits").alias("bits_per_byte"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("__lang").alias(f"{prefix}lang_pred"), F.col("__score").alias(f"{prefix}score"), F.col("__bits").alias(f"{prefix}bits_per_byte"))
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,5 +215,5 @@ MIN_SCORE = 0.5
 
 def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that get a language with a posterior of at least ``MIN_SCORE``; all columns stay as they are."""
-    out = predict(docs, train(docs))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    out = predict(docs, train(docs), prefix="__new_")
+    return out.where((F.col("__new_lang_pred") != "und") & (F.col("__new_score") >= MIN_SCORE)).select(*docs.columns)

@@ -165,8 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars
     return fit(sorted((r["text"], r["toxic"]) for r in training_sample(docs, labels, rows, max_chars).collect()))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` with score, n_sentences and ``offending``: (start, end, p) of toxic sentences."""
+def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``keep`` columns of ``docs`` with score, n_sentences and ``offending``: (start, end, p) of toxic sentences.
+
+    The new columns' names begin with ``prefix``.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     keep = docs.columns if keep is None else keep
@@ -186,7 +189,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -
 
     schema = ", ".join([*(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names), "__score double", "__n long", "__spans array<struct<start:bigint,end:bigint,p:double>>"])
     out = slim.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("__score").alias("score"), F.col("__n").alias("n_sentences"), F.col("__spans").alias("offending"))
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], F.col("__score").alias(f"{prefix}score"), F.col("__n").alias(f"{prefix}n_sentences"), F.col("__spans").alias(f"{prefix}offending"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,5 +204,5 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a score below ``THRESHOLD``; all columns stay as they are."""
-    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
-    return out.where(F.col("score") < THRESHOLD).select(*docs.columns)
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")), prefix="__new_")
+    return out.where(F.col("__new_score") < THRESHOLD).select(*docs.columns)
