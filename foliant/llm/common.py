@@ -28,7 +28,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(scratch_dir, "own", None)
+    top = spark.conf.get("spark.checkpoint.dir", None) or getattr(scratch_dir, "own", None)
     if not top:
         top = scratch_dir.own = tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(top)
@@ -120,6 +120,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         new = materialise(moved.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         drop_table(now)
         now = new
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
