@@ -12,7 +12,8 @@ from foliant.operators import changes as C
 from foliant.operators import modifier as M
 from foliant.operators.projection import project
 from foliant.operators.selector import compile_selector
-from foliant.plans.collection import Cursor
+from foliant.plans.collection import Collection, Cursor
+from foliant.sources.clustered import ClusteredIndex
 from foliant.streaming.observe import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +110,12 @@ find("sort_skip_limit", "orders", {"o_orderstatus": "F"}, "SELECT o_orderkey, o_
 find("find_one", "customer", {"c_custkey": 77}, "SELECT * FROM customer WHERE c_custkey = 77", limit=1)
 
 
+@query("index_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (7, 70, 700) AND o_totalprice > 1000")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = Collection(table(spark, sf_dir, "orders"), key="o_orderkey", indexes=[ClusteredIndex("o_custkey", key="o_orderkey")])
+    return orders.find({"o_custkey": {"$in": [7, 70, 700]}, "o_totalprice": {"$gt": 1000}}, fields={"o_custkey": 1, "o_totalprice": 1}).to_df()
+
+
 @query("count", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R')")
 def count(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")

@@ -12,7 +12,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from typing import Any
+from typing import Any, Protocol
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +31,18 @@ CUT = 10
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared spark.checkpoint.dir; a temporary one only where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(scratch, "own", None)
+    top = spark.conf.get("spark.checkpoint.dir", None) or getattr(scratch, "own", None)
     if not top:
         top = scratch.own = tempfile.mkdtemp(prefix="foliant-")
     return f"{top}/versions/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    return cut_lineage_to(df, scratch(df.sparkSession))
+
+
+def cut_lineage_to(df: DataFrame, path: str, options: dict[str, str] | None = None) -> DataFrame:
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +56,16 @@ def order_columns(schema: T.StructType, sort: dict[str, int] | None) -> list[Col
     return out
 
 
+class IndexProvider(Protocol):
+    """An index of a collection: a smaller or better laid out source for the selectors that it serves."""
+
+    def query(self, selector: dict) -> DataFrame | None:
+        """Rows that include all matches, with every column of the collection; None if the index is of no use."""
+
+    def rebuild(self, df: DataFrame) -> None:
+        """The collection's items are now ``df``."""
+
+
 class Cursor:
     """A lazy result: filter, sort, skip, limit, transform_all, fields, transform, in that order."""
 
@@ -124,7 +137,7 @@ class Collection:
     registry: dict[str, "Collection"] = {}
     creation_hooks: list[Callable[["Collection"], None]] = []
 
-    def __init__(self, df: DataFrame, name: str = "", key: str = "id", order: list[str] | None = None, key_generator: Callable[[], Any] | None = None, transform=None, transform_all=None, rules: dict[str, Column] | None = None) -> None:
+    def __init__(self, df: DataFrame, name: str = "", key: str = "id", order: list[str] | None = None, key_generator: Callable[[], Any] | None = None, transform=None, transform_all=None, rules: dict[str, Column] | None = None, indexes: list[IndexProvider] | None = None) -> None:
         """rules: name -> boolean Column that every written row must satisfy. order: columns of the insertion order."""
         self.spark, self.key, self.name = df.sparkSession, key, name
         self.key_generator = key_generator or (lambda: uuid.uuid4().hex)
@@ -132,14 +145,20 @@ class Collection:
         self.handlers: dict[str, list[Callable[..., Any]]] = defaultdict(list)
         self.observers: list[Observer] = []
         self.disposed, self.batching, self.version, self.pending = False, False, 0, []
-        by = order or [key]
-        # ties keep their order; _seq is the order itself, so no global numbering is needed
-        self.df = df if SEQ in df.columns else df.withColumn(SEQ, F.struct(F.lit(0).cast("long").alias("version"), *[F.col(f"`{c}`").cast("string").alias(f"k{i}") if not isinstance(df.schema[c].dataType, T.NumericType) else F.format_string("%020d", F.col(f"`{c}`").cast("long")).alias(f"k{i}") for i, c in enumerate(by)]))
+        self.order = order or [key]
+        self.df = self._ordered(df)
+        self.indexes = indexes or []
+        self._rebuild()
         if name:
             Collection.registry[name] = self
         for hook in Collection.creation_hooks:
             hook(self)
 
+    def _ordered(self, df: DataFrame) -> DataFrame:
+        """``df`` with its insertion order: version, number within a write, then the order columns; none is global."""
+        zero = F.lit(0).cast("long")
+        return df if SEQ in df.columns else df.withColumn(SEQ, F.struct(zero.alias("version"), zero.alias("nth"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(self.order)]))
+
     # -- reading
 
     def _open(self) -> None:
@@ -151,12 +170,21 @@ class Collection:
         options.setdefault("transform", self.transform)
         options.setdefault("transform_all", self.transform_all)
         self.emit("find", selector, options)
-        return Cursor(lambda: self.df, selector, key=self.key, **options)
+        return Cursor(lambda: self._source(selector), selector, key=self.key, **options)
 
     def find_one(self, selector: dict | None = None, **options: Any) -> Any:
         self.emit("findOne", selector, options)
         return next(iter(self.find(selector, **{**options, "limit": 1})), None)
 
+    def _source(self, selector: dict | None) -> DataFrame:
+        """The first index that serves the selector, or all items; the whole selector is applied to either."""
+        found = (ix.query(selector) for ix in self.indexes) if isinstance(selector, dict) and selector else ()
+        return next((df for df in found if df is not None), self.df)
+
+    def _rebuild(self) -> None:
+        for ix in self.indexes:
+            ix.rebuild(self.df)
+
     # -- events
 
     def on(self, event: str, f: Callable[..., Any]) -> None:
@@ -179,6 +207,8 @@ class Collection:
     def _commit(self, df: DataFrame, event: str, *args: Any) -> None:
         self.version += 1
         self.df = cut_lineage(df) if self.version % CUT == 0 else df
+        if not self.batching:
+            self._rebuild()
         self.emit(event, *args)
         if not self.batching:
             for o in self.observers:
@@ -186,7 +216,7 @@ class Collection:
 
     @contextmanager
     def batch(self) -> Iterator["Collection"]:
-        """Observers run once, at the end; a failure takes the batch back."""
+        """Indexes and observers follow once, at the end; a failure takes the batch back."""
         self._open()
         before, self.batching = self.df, True
         try:
@@ -196,6 +226,7 @@ class Collection:
             raise
         finally:
             self.batching = False
+            self._rebuild()
         for o in self.observers:
             o.requery()
 
@@ -233,10 +264,8 @@ class Collection:
 
     def _seq_for(self, rows: DataFrame) -> DataFrame:
         inner = self.df.schema[SEQ].dataType
-        names = [f.name for f in inner.fields[1:]] if isinstance(inner, T.StructType) else []
-        number = F.format_string("%020d", F.monotonically_increasing_id())  # rows are a driver-made list: one reading, one order
-        value = F.struct(F.lit(self.version + 1).cast("long").alias("version"), *[(number if i == 0 else F.lit("")).alias(n) for i, n in enumerate(names)])
-        return rows.withColumn(SEQ, value.cast(inner))
+        nth = F.monotonically_increasing_id()  # rows are a driver-made list: one reading, one order
+        return rows.withColumn(SEQ, F.struct(F.lit(self.version + 1).cast("long").alias("version"), nth.alias("nth"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in inner.fields[2:]]))
 
     def insert(self, item: dict[str, Any]) -> Any:
         return self.insert_many([item])[0]
@@ -365,15 +394,16 @@ class Collection:
         self._open()
         new = changes.where(F.col("kind") != "removed").select(self.key, "new.*")
         old = self.df.select(self.key, SEQ)
-        seq = self._seq_for(self.df.drop(SEQ).limit(0)).schema[SEQ].dataType
-        fresh = F.struct(F.lit(self.version + 1).cast("long"), *[F.col(self.key).cast("string") for _ in seq.fields[1:]]).cast(seq)
+        own = [(F.col(f"`{c}`") if c in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for c, f in zip(self.order, self.df.schema[SEQ].dataType.fields[2:])]
+        fresh = F.struct(F.lit(self.version + 1).cast("long").alias("version"), F.lit(0).cast("long").alias("nth"), *own)
         placed = new.join(old, self.key, "left").withColumn(SEQ, F.coalesce(SEQ, fresh))
         kept = self.df.join(changes.select(self.key), self.key, "left_anti")
         self._commit(kept.unionByName(placed, allowMissingColumns=True), "changed", None, None, None)
 
     def reset(self, df: DataFrame) -> None:
-        """Replace all items."""
-        self.__init__(df, self.name, self.key, None, self.key_generator, self.transform, self.transform_all, self.rules)
+        """Replace all items; handlers, rules and observers stay."""
+        self._open()
+        self._commit(self._ordered(df), "reset", df)
 
     def dispose(self) -> None:
         self.disposed = True

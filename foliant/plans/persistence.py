@@ -23,7 +23,7 @@ class Persisted:
         self.is_ready = self.is_pulling = self.is_pushing = False
         self.dirty, self.loading = False, False
         self.saved: DataFrame = collection.df.drop(SEQ).limit(0)
-        for event in ("added", "changed", "removed"):
+        for event in ("added", "changed", "removed", "reset"):
             collection.on(event, self._written)
         collection.on("dispose", self.store.unregister)
         self.store.register(self.pull)
