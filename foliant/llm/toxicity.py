@@ -1,10 +1,14 @@
 """Toxicity by multiple-instance learning: sentences are the instances, the label belongs to the document.
 
-A sentence with features S has p = sigmoid(b + sum of w over S); a document has 1 - prod(1 - p) over its sentences
-(noisy-or). Only document labels train w and b; afterwards the sentence probabilities locate the offending sentences.
+A sentence with features S has p = sigmoid(b + sum of w over S); a document has 1 - prod(1 - p) over the sentences of
+its worst stretch of ``WINDOW`` (noisy-or; a shorter document is one stretch). Only document labels train w and b; afterwards the sentence probabilities locate the offending sentences.
 Features are the words of a sentence and the 4- to 6-character pieces of its words with their ends marked. Training
 keeps those whose document counts speak for toxicity (log-likelihood ratio); all other sentences share the score of b.
 
+Over all sentences at once the small p of unremarkable ones, with or without features, would add up with length until
+any long clean text scored 1; over a stretch they can't. Training reads labelled texts of any length whole; executors
+reduce them to their words and then to feature sets, so the driver never holds a text.
+
 Defined results: null and empty texts have no sentence and score 0; null doc_id counts as the empty text in the fold;
 conflicting or repeated labels of one id count as toxic if any is; without labelled rows every score is 0. Text, and
 nothing else, is an input of a score; every sentence of a text counts.
@@ -22,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import held_out, small_batches, table
+from foliant.llm.common import drop_table, held_out, materialise, small_batches, table
 
-#: Bounds of the training sample: expected rows, and the longest text used for training, in characters.
+#: Expected rows of the training sample.
 SAMPLE_ROWS = 8_000
-SAMPLE_CHARS = 20_000
 MAX_FEATURES = 1024
 MIN_LLR = 12.0
 MIN_TOXIC_DOCS = 3
 GRAMS = (4, 5, 6)
 THRESHOLD = 0.5
+#: Consecutive sentences whose noisy-or is taken; the highest of a document is its score.
+WINDOW = 32
 #: Words whose weight a worker remembers.
 MEMORY = 400_000
 
@@ -64,7 +69,7 @@ class Model:
     def document(self, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
         """Noisy-or score, number of sentences, and (start, end, p) of the sentences with p >= THRESHOLD."""
         lower = text.lower() if text.isascii() else text  # offsets are those of the text itself
-        n, log_clean, base, found = 0, 0.0, self.sentence(set()), []
+        n, logs, run, log_clean, base, found = 0, [], 0.0, 0.0, self.sentence(set()), []
         if not WORD.search(text):
             return 0.0, 0, []
         for m in SENTENCE.finditer(lower):
@@ -73,26 +78,30 @@ class Model:
                 continue
             n += 1
             features = {f for w in set(words) for f in self.word(w)}
-            if features:
-                p = self.sentence(features)
-                log_clean += math.log1p(-min(p, 1 - 1e-15))
-                if p >= THRESHOLD:
-                    found.append((m.start(), m.end(), p))
-            else:
-                log_clean += math.log1p(-base)
-        return -math.expm1(log_clean), n, found
+            p = self.sentence(features) if features else base
+            logs.append(math.log1p(-min(p, 1 - 1e-15)))
+            run += logs[-1] - (logs[-1 - WINDOW] if n > WINDOW else 0.0)
+            log_clean = min(log_clean, run)
+            if features and p >= THRESHOLD:
+                found.append((m.start(), m.end(), p))
+        return 0.0 - math.expm1(log_clean), n, found
+
+
+def words_of(text: str) -> str:
+    """The different words of a text, in small letters."""
+    return " ".join(sorted(set(WORD.findall(text.lower()))))
 
 
 def choose_features(docs: list[tuple[str, int]]) -> dict[str, int]:
-    """Features whose document counts speak for toxicity most, numbered."""
+    """Features whose document counts speak for toxicity most, numbered. docs: (:func:`words_of` a text, label)."""
     toxic = Counter()
-    for text, label in docs:
+    for words, label in docs:
         if label:
-            toxic.update(set().union(*map(pieces, set(WORD.findall(text.lower())))))
+            toxic.update(set().union(*map(pieces, words.split())))
     toxic = {f: a for f, a in toxic.items() if a >= MIN_TOXIC_DOCS}
     chooser, seen = Model(toxic, 0.0, memory=50_000), Counter()
-    for text, _ in docs:
-        seen.update({f for w in set(WORD.findall(text.lower())) for f in chooser.word(w)})
+    for words, _ in docs:
+        seen.update({f for w in words.split() for f in chooser.word(w)})
     n, t = len(docs), sum(y for _, y in docs)
 
     def xlogx(*x: float) -> float:
@@ -108,28 +117,40 @@ def choose_features(docs: list[tuple[str, int]]) -> dict[str, int]:
     return {f: i for i, (_, f) in enumerate(sorted(scored)[:MAX_FEATURES])}
 
 
-def fit(docs: list[tuple[str, int]], steps: int = 400, rate: float = 0.3, l2: float = 2e-4, l2_rows: float = 0.5) -> Model | None:
-    """Full-batch Adam on the noisy-or log-likelihood. docs: (text, label)."""
+def instances(text: str, number: dict[str, int], chooser: Model) -> tuple[int, list[tuple[int, list[int]]]]:
+    """Sentences without features, and (number of sentences, features) for each set of features that occurs."""
+    bare, sets = 0, Counter()
+    for m in SENTENCE.finditer(text):
+        words = WORD.findall(m[0].lower())
+        if words:
+            features = tuple(sorted({number[f] for w in set(words) for f in chooser.word(w)}))
+            if features:
+                sets[features] += 1
+            else:
+                bare += 1
+    return bare, [(k, list(f)) for f, k in sorted(sets.items())]
+
+
+def fit(docs: list[tuple[str, int]]) -> Model | None:
+    """The model of whole texts. docs: (text, label)."""
     if not docs or not any(y for _, y in docs):
         return None
-    number = choose_features(docs)
+    number = choose_features([(words_of(t), y) for t, y in docs])
     chooser = Model(dict.fromkeys(number, 0.0), 0.0)
-    owner, cells, heads = [], [], []  # sentences with features: their document, features, and where they begin
-    bare = np.zeros(len(docs))
-    y = np.array([label for _, label in docs], float)
-    for d, (text, _) in enumerate(docs):
-        for m in SENTENCE.finditer(text):
-            words = WORD.findall(m[0].lower())
-            if not words:
-                continue
-            features = sorted({number[f] for w in set(words) for f in chooser.word(w)})
-            if features:
-                heads.append(len(cells))
-                cells.extend(features)
-                owner.append(d)
-            else:
-                bare[d] += 1
-    owner, cells, heads = np.array(owner, int), np.array(cells, int), np.array(heads, int)
+    return fit_instances(number, [(y, *instances(t, number, chooser)) for t, y in docs])
+
+
+def fit_instances(number: dict[str, int], docs: list[tuple[int, int, list[tuple[int, list[int]]]]], steps: int = 400, rate: float = 0.3, l2: float = 2e-4, l2_rows: float = 0.5) -> Model:
+    """Full-batch Adam on the noisy-or log-likelihood. docs: (label, *:func:`instances` of a text)."""
+    owner, cells, heads, times = [], [], [], []  # sets of features: their document, features, where they begin, sentences
+    y, bare = np.array([d[0] for d in docs], float), np.array([d[1] for d in docs], float)
+    for d, (_, _, sets) in enumerate(docs):
+        for k, features in sets:
+            heads.append(len(cells))
+            cells.extend(features)
+            owner.append(d)
+            times.append(k)
+    owner, cells, heads, times = np.array(owner, int), np.array(cells, int), np.array(heads, int), np.array(times, float)
     sizes = np.diff(np.append(heads, len(cells))) if len(heads) else np.zeros(0, int)
     sentence_of = np.repeat(np.arange(len(heads)), sizes)
     w, b = np.zeros(len(number)), -6.0
@@ -137,11 +158,11 @@ def fit(docs: list[tuple[str, int]], steps: int = 400, rate: float = 0.3, l2: fl
     for step in range(1, steps + 1):
         z = b + (np.add.reduceat(w[cells], heads) if len(heads) else np.zeros(0))
         p, p0 = 1 / (1 + np.exp(-np.clip(z, -40, 40))), 1 / (1 + math.exp(-b))
-        clean = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(docs)) + bare * math.log1p(-p0)
+        clean = np.bincount(owner, times * np.log1p(-np.minimum(p, 1 - 1e-12)), len(docs)) + bare * math.log1p(-p0)
         toxic = np.maximum(-np.expm1(clean), 1e-9)
         # d loglik / d z_s = p_s * (y (1 - P) / P - (1 - y))
         pull = y * (1 - toxic) / toxic - (1 - y)
-        gs = p * pull[owner]
+        gs = times * p * pull[owner]
         grad = np.append(np.bincount(cells, gs[sentence_of], len(w)), gs.sum() + (pull * bare).sum() * p0) / len(docs)
         grad[:-1] -= (l2 + l2_rows / len(docs)) * w
         moment = 0.9 * moment + 0.1 * grad
@@ -151,18 +172,42 @@ def fit(docs: list[tuple[str, int]], steps: int = 400, rate: float = 0.3, l2: fl
     return Model({f: float(w[i]) for f, i in number.items()}, float(b))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of about ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     n = marks.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     marks = marks.where(draw < min(1.0, rows / max(n, 1))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    slim = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= max_chars) & (draw < min(1.0, rows / max(n, 1))))
-    return slim.join(marks, "doc_id").select("text", "toxic")
+    slim = docs.select("doc_id", "text").where((F.length("text") > 0) & (draw < min(1.0, rows / max(n, 1))))
+    return slim.join(marks, "doc_id").select(F.col("text").cast("string").alias("text"), "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
+    """The sample's texts stay on the executors; their words come to the driver, and then their feature sets."""
+    small_batches(docs.sparkSession)
+    sample = materialise(training_sample(docs, labels, rows))
 
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(words_of, batch.column("text").to_pylist()), pa.string()), batch.column("toxic")], names=["words", "toxic"])
+
+    bags = [(r["words"], r["toxic"]) for r in sample.mapInArrow(words, "words string, toxic int").collect()]
+    if not any(y for _, y in bags):
+        drop_table(sample)
+        return None
+    number = choose_features(bags)
+    sets = pa.list_(pa.struct([("n", pa.int64()), ("features", pa.list_(pa.int64()))]))
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chooser = Model(dict.fromkeys(number, 0.0), 0.0)
+        for batch in batches:
+            out = [instances(t, number, chooser) for t in batch.column("text").to_pylist()]
+            own = pa.array([[{"n": k, "features": f} for k, f in x[1]] for x in out], sets)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x[0] for x in out], pa.int64()), own], names=["toxic", "bare", "sets"])
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Model | None:
-    return fit(sorted((r["text"], r["toxic"]) for r in training_sample(docs, labels, rows, max_chars).collect()))
+    found = sample.mapInArrow(reduced, "toxic int, bare long, sets array<struct<n:bigint,features:array<bigint>>>").collect()
+    drop_table(sample)
+    return fit_instances(number, sorted((r["toxic"], r["bare"], [(x["n"], list(x["features"])) for x in r["sets"]]) for r in found))
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None, prefix: str = "") -> DataFrame:

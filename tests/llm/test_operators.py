@@ -105,6 +105,24 @@ def test_noisy_or_matches_its_definition():
     assert n == 4 and score == pytest.approx(1 - (1 - p(-1.0)) ** 2 * (1 - p(-4.0)) ** 2) and not found
 
 
+def test_length_alone_is_not_toxic(spark):
+    rnd = random.Random(11)
+    texts = [(" ".join(sentence(rnd, "en", 8) for _ in range(40)) + (" You utter moron." if i % 4 == 0 else " What an utter delight."), int(i % 4 == 0)) for i in range(80)]
+    model = toxicity.fit(texts)
+    clean = " ".join([*(sentence(rnd, "en", 4) for _ in range(2000)), "An utter delight."] * 50)
+    score, n, found = model.document(clean)
+    assert n > 100_000 and score < 0.5 and not found
+    score, _, found = model.document(clean + " You utter moron. " + clean)
+    assert score >= 0.5 and len(found) == 1
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(1000 + i, clean[:30_000] + " Zorblax." + " You utter moron." * (i % 2)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)] + [(1000 + i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.training_sample(docs, labels).where("length(text) > 20000").count() > 0
+    own = toxicity.train(docs, labels)
+    same = toxicity.fit([(r["text"], r["toxic"]) for r in toxicity.training_sample(docs, labels).collect()])
+    assert own.weights.keys() == same.weights.keys() and own.bias == pytest.approx(same.bias, abs=1e-3)
+    assert own.document(clean)[0] < 0.5 <= own.document(clean + " You utter moron.")[0]
+
+
 def test_ann_recall_and_exact_scores(spark, sf):
     out = QUERIES["op2_additive_ann"](spark, sf).collect()
     rows = ann.valid(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()
