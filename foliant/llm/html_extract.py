@@ -2,7 +2,8 @@
 
 A page is read once into a tree of nodes (no recursion, so nesting may be deep). Parts that are never the article go at
 once with all below them: scripts, styles, forms, navigation, footers, asides, and elements whose class, id or role
-names a menu, advert, notice, sidebar, share box or comment list. Every remaining block of text then passes points to
+names a menu, advert, notice, sidebar, share box or comment list ("has-sidebar" and the like name none). Where names
+take nearly all of a page's text, it is read again without regard to them. Every remaining block of text then passes points to
 its container: one, one more per comma, and up to three for its length; the container's parent gets half of them, further
 ancestors ever less. A container's score is discounted by its link density and raised for article-like names. The best
 container is kept with those siblings that score near it or are paragraphs of prose; inside, lists and boxes that are
@@ -45,6 +46,10 @@ NEVER = frozenset(
 )
 SOMETIMES = frozenset("header head banner notice notification alert side tags meta byline legal disclaimer foot bottom top dialog form".split())
 GOOD = frozenset("article post entry content main story body text blog page column hentry prose".split())
+#: Words after which the rest of a name tells what the page has or lacks, not what the element is.
+ABOUT = frozenset("has no with without".split())
+#: A result shorter than this, and than a quarter of the text that went by name, is held against one without names.
+LITTLE = 250
 BONUS = {"article": 40.0, "main": 30.0}
 
 
@@ -57,12 +62,16 @@ def words_of(attributes: str) -> tuple[set[str], bool]:
         if name in ("hidden", "aria-hidden"):
             hidden |= name == "hidden" and (value or "") != "until-found" or (value or "").lower() == "true"
         elif value:
-            words.update(x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value))
+            for token in value.split():
+                for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token):
+                    if x.lower() in ABOUT:
+                        break
+                    words.add(x.lower())
     return words, hidden
 
 
-def unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element goes with all below it, and whether its names speak for it."""
+def unwanted(tag: str, attributes: str, names: bool = True) -> tuple[bool, bool]:
+    """Whether an element goes with all below it, and whether its names speak for it; without ``names`` none speaks against it."""
     if tag in DROPPED:
         return True, False
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
@@ -70,21 +79,23 @@ def unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
     words, hidden = words_of(attributes)
     if tag in KEPT and not (tag == "article" and words & NEVER):
         return False, bool(words & GOOD)
-    if hidden or words & NEVER:
+    if hidden or names and words & NEVER:
         return True, False
     good = bool(words & GOOD)
-    return bool(words & SOMETIMES) and not good, good
+    return names and bool(words & SOMETIMES) and not good, good
 
 
 class Page:
     """Nodes in page order: tag, parent, last node below; blocks of text with the node that owns them."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, names: bool = True) -> None:
+        self.names, self.lost = names, 0  # lost: characters that went by name
         self.tag, self.up, self.good = ["html"], [-1], [False]
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters of it in links
         self.read(html)
 
     def read(self, html: str) -> None:
+        named = False
         stack, drop, links = [0], 0, 0  # drop: depth in the stack from which everything is unwanted; links: open <a>
         parts: list[str] = []
         linked = at = 0
@@ -104,6 +115,8 @@ class Page:
 
         def say(text: str) -> None:
             nonlocal linked
+            if drop and named:
+                self.lost += len(text.strip())
             if text and not drop:
                 text = entities.unescape(text)
                 parts.append(text)
@@ -182,7 +195,7 @@ class Page:
                 end = RAW_END[name].search(html, at)
                 at = end.end() if end else len(html)
                 continue
-            bad, fine = (False, False) if drop else unwanted(name, m[3])
+            bad, fine = (False, False) if drop else unwanted(name, m[3], self.names)
             if bad and inline and not (parts or drop):
                 flush()
             tag.append(name)
@@ -191,7 +204,7 @@ class Page:
             stack.append(len(tag) - 1)
             links += name == "a"
             if bad and not drop:
-                drop = len(stack)
+                drop, named = len(stack), self.names and not unwanted(name, m[3], False)[0]
             if m[3].endswith("/") and not inline and name not in ("p", "div"):
                 pop_to(len(stack) - 1)
         pop_to(1)
@@ -260,7 +273,15 @@ class Page:
 
 
 def main_text(html: str | None) -> str:
-    return Page(html).main_text() if html else ""
+    if not html:
+        return ""
+    page = Page(html)
+    text = page.main_text()
+    if len(text) < LITTLE and 4 * len(text) < page.lost:
+        again = Page(html, names=False).main_text()
+        if len(again) >= LITTLE:
+            return again
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

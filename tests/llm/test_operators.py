@@ -105,6 +105,16 @@ def test_noisy_or_matches_its_definition():
     assert n == 4 and score == pytest.approx(1 - (1 - p(-1.0)) ** 2 * (1 - p(-4.0)) ** 2) and not found
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout-no-sidebar", "page with-comments", "widget", "ad"])
+def test_a_wrapper_named_like_a_sidebar_keeps_the_article(name):
+    prose = "\n".join(f"Paragraph {i} tells, at some length, what happened on that day and why." for i in range(8))
+    body = "".join(f"<p>{x}</p>" for x in prose.split("\n"))
+    side = "<div class='sidebar'><p>Buy, buy, buy.</p></div>"
+    assert html_extract.main_text(f"<body><div class='{name}'>{body}</div></body>") == prose
+    assert html_extract.main_text(f"<body><div class='content'>{body}</div>{side}</body>") == prose
+    assert html_extract.main_text("<body><div class='sidebar'><a href='x'>One</a> <a href='y'>Two</a></div></body>") == ""
+
+
 def test_length_alone_is_not_toxic(spark):
     rnd = random.Random(11)
     texts = [(" ".join(sentence(rnd, "en", 8) for _ in range(40)) + (" You utter moron." if i % 4 == 0 else " What an utter delight."), int(i % 4 == 0)) for i in range(80)]
