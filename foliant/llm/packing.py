@@ -166,11 +166,21 @@ def cut(ids: bytes, capacity: int, width: int = 4) -> list[tuple[int, bytes]]:
     return [(a // width, ids[a : a + step]) for a in range(0, len(ids), step)]
 
 
-def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def narrow(ids: bytes, width: int) -> bytes:
+    """32-bit ids as ids of ``width`` bytes, 2 or 4; an id that doesn't fit is an error."""
+    if width not in (2, 4):
+        raise ValueError(f"not a width of ids: {width}")
+    own = np.frombuffer(ids, "<u4")
+    if width == 2 and len(own) and own.max() > 0xFFFF:
+        raise ValueError(f"id {own.max()} needs more than 16 bits; pack with width=4")
+    return own.astype(f"<u{width}").tobytes()
+
+
+def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, with_ids: bool = False, width: int = 2) -> DataFrame:
     """Every piece of every document: doc_id, piece, start, length, ids_crc32, and where it came up.
 
     ``part`` is the task, ``nth`` the number of earlier pieces of the same length in it. With ``with_ids`` also the ids
-    as unsigned little-endian numbers of 16 bits, or 32 where the vocabulary is larger.
+    as unsigned little-endian numbers of ``width`` bytes: 2, or 4 where the vocabulary is larger.
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -184,7 +194,7 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, with_
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 for k, (start, own) in enumerate(cut(ids + last, capacity)):
                     n = len(own) // 4
-                    small = np.frombuffer(own, "<u4").astype("<u2").tobytes() if with_ids else None
+                    small = narrow(own, width) if with_ids else None
                     rows.append((doc, k, start, n, zlib.crc32(own), part, seen[n], small))
                     seen[n] += 1
             if rows:
@@ -227,15 +237,15 @@ def assign(own: DataFrame, planner, capacity: int = CAPACITY, broadcast_cells: i
     return ranked.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, planner=plan_min_slack, path: str = WORD_BPE, end: int = WORD_END, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, planner=plan_min_slack, path: str = WORD_BPE, end: int = WORD_END, capacity: int = CAPACITY, with_ids: bool = False, width: int = 2) -> DataFrame:
     """All pieces of ``docs`` with their place. The pieces are tokenized once and written to the scratch folder."""
-    return assign(materialise(pieces(docs, path, end, capacity, with_ids)), planner, capacity)
+    return assign(materialise(pieces(docs, path, end, capacity, with_ids, width)), planner, capacity)
 
 
-def packed_rows(placed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> DataFrame:
+def packed_rows(placed: DataFrame, capacity: int = CAPACITY, pad: int = 0, width: int = 2) -> DataFrame:
     """One row per sequence: its id matrix row, cumulative segment lengths and where positions restart.
 
-    ``ids`` has ``capacity`` unsigned little-endian 16-bit ids, padded with ``pad``; ``cu_seqlens`` runs from 0 to
+    ``ids`` has ``capacity`` unsigned little-endian ids of the pieces' ``width``, padded with ``pad``; ``cu_seqlens`` runs from 0 to
     n_tokens; ``position_resets`` are the offsets at which position ids start again from 0, one for each segment.
     """
     dealt = placed.select("sequence_id", "offset", "doc_id", "piece", "length", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
@@ -248,7 +258,9 @@ def packed_rows(placed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> Da
         def made() -> tuple:
             raw = b"".join(s[3] for s in segments)
             ends = np.cumsum([s[2] for s in segments]).tolist()
-            full = raw + np.full(capacity - len(raw) // 2, pad, "<u2").tobytes()
+            if len(raw) != ends[-1] * width:
+                raise ValueError(f"the pieces' ids are not {width} bytes wide")
+            full = raw + np.full(capacity - len(raw) // width, pad, f"<u{width}").tobytes()
             return now, ends[-1], [0, *ends], [0, *ends[:-1]], [s[0] for s in segments], [s[1] for s in segments], zlib.crc32(full), full
 
         for batch in batches:
@@ -276,10 +288,10 @@ def packed_rows(placed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> Da
     return dealt.mapInArrow(run, schema)
 
 
-def unpack(rows: DataFrame) -> DataFrame:
-    """(doc_id, ids) of every document from packed rows, pieces joined again; ids as 16-bit little-endian bytes."""
+def unpack(rows: DataFrame, width: int = 2) -> DataFrame:
+    """(doc_id, ids) of every document from packed rows, pieces joined again; ids as little-endian numbers of ``width`` bytes, as packed."""
     cell = F.explode(F.arrays_zip(F.col("doc_ids").alias("d"), F.col("pieces").alias("p"), F.col("position_resets").alias("a"), F.slice("cu_seqlens", 2, F.size("doc_ids")).alias("b")))
-    got = rows.select("ids", cell.alias("s")).select(F.col("s.d").alias("doc_id"), F.col("s.p").alias("piece"), F.expr("substring(ids, cast(2 * s.a + 1 as int), cast(2 * (s.b - s.a) as int))").alias("part"))
+    got = rows.select("ids", cell.alias("s")).select(F.col("s.d").alias("doc_id"), F.col("s.p").alias("piece"), F.expr(f"substring(ids, cast({width} * s.a + 1 as int), cast({width} * (s.b - s.a) as int))").alias("part"))
     own = got.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", F.hex("part").alias("x")))).alias("all"))
     return own.select("doc_id", F.unhex(F.concat_ws("", F.col("all.x"))).alias("ids"))
 

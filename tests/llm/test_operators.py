@@ -372,6 +372,19 @@ def test_packed_matrices_round_trip(spark, sf):
     assert {i: got[i] for i in want} == want
 
 
+def test_wide_ids_round_trip_and_narrow_ones_never_wrap(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 5")
+    end = 70_000  # as if the vocabulary were larger than 65,536
+    placed = packing.pack(docs, packing.plan_best_fit, BYTE_BPE, end, with_ids=True, width=4)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.unpack(packing.packed_rows(placed, pad=end, width=4), width=4).collect()}
+    coder = tokenizer(BYTE_BPE)
+    assert got == {i: [*coder.lib.encode_ordinary(t or ""), end] for i, t, _ in CORPUS if i is not None and i < 5}
+    with pytest.raises(ValueError):
+        packing.narrow(np.array([1, end], "<u4").tobytes(), 2)
+    with pytest.raises(Exception, match="16 bits"):
+        packing.pack(docs, packing.plan_best_fit, BYTE_BPE, end, with_ids=True).count()
+
+
 def test_decontamination(spark, sf):
     out = {(r["doc_id"], r["item_id"], r["edits"]) for r in QUERIES["op7_decontaminate"](spark, sf).collect()}
     assert out == {(222, 1, 0), (223, 1, 1)}
