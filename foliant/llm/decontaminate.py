@@ -1,6 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark texts are cut into patterns of ``SEGMENT`` bytes (shorter texts are one pattern). A text region within k edits
+Benchmark texts are cut into patterns of ``SEGMENT`` bytes (shorter texts are one pattern), and those longer than
+1.5 times ``PART`` also into parts of that size at half that stride, so that a quote of 1.5 parts is found. A text region within k edits
 of a pattern of m bytes shares at least m - q + 1 - k * q of its q-grams, and those lie on neighbouring diagonals (place
 in the text minus place in the pattern). So shared q-grams are counted in diagonal bands, each overlapping the next by
 half; bands that reach the bound are kept, and a banded alignment confirms them with its exact number of edits. k is
@@ -29,8 +30,9 @@ from foliant.llm.common import small_batches, table
 Q = 8
 ERRORS = 0.08
 SEGMENT = 160
+PART = 80
 SHORTEST = 32
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Stride of the diagonal bands, which are twice as wide; above the largest edit budget.
 STRIDE = 32
 PIECE = 1 << 20
@@ -43,13 +45,15 @@ def normal(text: str | None) -> bytes:
 
 
 def cut(raw: bytes) -> list[bytes]:
-    """Patterns of a benchmark text: pieces of SEGMENT bytes at half that stride, the last one at the end."""
+    """Patterns of a benchmark text: pieces of SEGMENT and of PART bytes at half that stride, the last ones at the end."""
     if len(raw) < SHORTEST:
         return []
-    if len(raw) < SEGMENT * 3 // 2:
-        return [raw]
-    starts = [*range(0, len(raw) - SEGMENT, SEGMENT // 2), len(raw) - SEGMENT]
-    return [raw[a : a + SEGMENT] for a in starts]
+    out = [raw] if len(raw) < SEGMENT * 3 // 2 else windows(raw, SEGMENT)
+    return list(dict.fromkeys(out + windows(raw, PART))) if len(raw) > PART * 3 // 2 else out
+
+
+def windows(raw: bytes, size: int) -> list[bytes]:
+    return [raw[a : a + size] for a in [*range(0, len(raw) - size, size // 2), len(raw) - size]]
 
 
 def grams(raw: bytes) -> np.ndarray:
@@ -86,11 +90,12 @@ class Patterns:
     """Index of a block of benchmark items: (item id, normalised bytes)."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
-        self.items, self.raw = [], []
+        self.items, self.raw, self.longer = [], [], []
         for item, raw in items:
             for p in cut(raw):
                 self.items.append(item)
                 self.raw.append(p)
+                self.longer.append(len(p) != PART or len(raw) == PART)
         self.sizes = np.array([len(p) for p in self.raw], np.int64)
         self.budget = np.floor(ERRORS * self.sizes).astype(np.int64)
         self.need = self.sizes - Q + 1 - self.budget * Q
@@ -119,7 +124,7 @@ class Patterns:
         return self.pattern[entry], np.repeat(at, n) - self.place[entry]
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, edits, start, end) of every confirmed region."""
+        """(text, item, edits, start, end) of every confirmed region; regions of parts only where no longer pattern of the item is."""
         if not len(self.keys):
             return []
         out, overlap = [], int(self.sizes.max()) + 4 * STRIDE
@@ -133,9 +138,12 @@ class Patterns:
                 if size >= PIECE:
                     out += self._search(todo)
                     todo, size = [], 0
-        return out + list(self._search(todo))
+        out += self._search(todo)
+        whole = {(i, self.items[p]) for i, p, *_ in out if self.longer[p]}
+        return [(i, self.items[p], *r) for i, p, *r in out if self.longer[p] or (i, self.items[p]) not in whole]
 
     def _search(self, todo: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, pattern, edits, start, end)."""
         if not todo:
             return
         gap = b"\n" * Q  # no normalised text has it, so no q-gram reaches over
@@ -170,7 +178,7 @@ class Patterns:
                 spot = (i, p, end // STRIDE)
                 if not seen & {spot, (i, p, end // STRIDE - 1), (i, p, end // STRIDE + 1)}:
                     seen.add(spot)
-                    yield i, self.items[p], edits, end - len(own), end
+                    yield i, p, edits, end - len(own), end
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Patterns]:

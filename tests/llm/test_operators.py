@@ -385,6 +385,16 @@ def test_wide_ids_round_trip_and_narrow_ones_never_wrap(spark, sf):
         packing.pack(docs, packing.plan_best_fit, BYTE_BPE, end, with_ids=True).count()
 
 
+@pytest.mark.parametrize("size", [230, 600])
+def test_partial_quotes_of_a_benchmark_text_are_found(size):
+    rnd = random.Random(size)
+    item = decontaminate.normal(sentence(rnd, "en", size))[:size].strip()
+    patterns = decontaminate.Patterns([(1, item)])
+    for a in range(0, len(item) - 120, 7):
+        assert patterns.search([b"before it " + item[a : a + 120] + b" after it"]), a
+    assert patterns.search([item])[0][2] == 0 and not patterns.search([decontaminate.normal(sentence(rnd, "fr", 400))])
+
+
 def test_decontamination(spark, sf):
     out = {(r["doc_id"], r["item_id"], r["edits"]) for r in QUERIES["op7_decontaminate"](spark, sf).collect()}
     assert out == {(222, 1, 0), (223, 1, 1)}
