@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, on edge cases and on empty tables."""
 
 import random
+import time
 import zlib
 from itertools import combinations
 
@@ -183,6 +184,63 @@ def test_html(spark, sf):
         html_extract.main_text(broken)
 
 
+def page_of(rnd):
+    """A page and the text of its article, known since the page is built around it."""
+    words = lambda a, b: " ".join(rnd.choice(("time", "water", "x < 5", "a<=b", "stone", "R&D", "went", "far", "and", "some", "of")) for _ in range(rnd.randint(a, b)))
+    esc = lambda t: t.replace("&", rnd.choice(("&amp;", "&#38;", "&#x26;"))).replace("<=", rnd.choice(("&lt;=", "<="))).replace(" < ", rnd.choice((" &lt; ", " < ")))
+    junk = lambda: rnd.choice((
+        "<script>if (a<b) '<p>x</p>'</script>", "<style>p{}</style>", "<!-- <p>no</p> -->", '<div class="ad"><p>Buy, buy, and buy some more.</p></div>', "<form><p>Your mail</p><input></form>",
+        '<div class="related-posts"><p>Read, if you like, this too.</p></div>', "<aside><p>By the way, this.</p></aside>", '<div id="cookie-banner">We use cookies.</div>', '<ul class="share"><li><a href=x>Share</a></ul>', '<p hidden>No.</p>',
+    ))
+    blocks, out = [], []
+    for _ in range(rnd.randint(3, 9)):
+        t = words(12, 60) + "."
+        kind = rnd.choice(("p", "p", "p", "open", "inline", "list", "section", "math", "pre", "quote", "wrapped"))
+        if kind == "section":
+            name, head = rnd.choice(("related-work", "discussion", "search", "share", "comment-on-method")), words(2, 4)
+            blocks.append(f'<section id="{name}"><h2 id="{name}-head">{esc(head)}</h2><p>{esc(t)}</p></section>')
+            out += [head, t]
+        elif kind == "list":
+            items = [words(3, 9) for _ in range(rnd.randint(1, 4))]
+            blocks.append("<ul>" + "".join(f"<li>{esc(x)}{rnd.choice(('', '</li>'))}" for x in items) + "</ul>")
+            out += items
+        else:
+            blocks.append({
+                "p": f"<p>{esc(t)}</p>", "open": f"<p class='has-ad'>{esc(t)}", "inline": f'<p>{esc(t)} <b title="a>b">bold</b>\n <a href=/x>link</a></p>', "math": f"<p>{esc(t)} <math><mi>x</mi><mo>+</mo><mn>1</mn></math></p>",
+                "pre": f"<pre><span class=comment>{esc(t)}</span></pre>", "quote": f"<blockquote>{esc(t)}</blockquote>", "wrapped": f"<div><div class='with-sidebar'><p>{esc(t)}</p></div></div>",
+            }[kind])
+            out.append(t + {"inline": " bold link", "math": " x+1"}.get(kind, ""))
+        if rnd.random() < 0.4:
+            blocks.append(junk())
+    depth = rnd.randint(0, 9)
+    body = "<div>" * depth + "<article>" + "".join(blocks) + "</article>" + "</div>" * depth
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a>" for i in range(9)) + "</ul>"
+    html = f"<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav>{menu}</nav>{junk()}{body}{junk()}<div>{menu}</div><footer>Foot, note.</footer></body></html>"
+    return (html if rnd.random() < 0.8 else html[: html.index("<footer>") + 4]), "\n".join(" ".join(x.split()) for x in out)
+
+
+def test_articles_come_out_whole():
+    rnd = random.Random(17)
+    for _ in range(400):
+        html, want = page_of(rnd)
+        assert html_extract.main_text(html) == want, html
+
+
+def test_split_articles_and_broken_tags():
+    prose = "".join(f"<p>Part {i} tells, at some length, what happened on that day and why.</p>" for i in range(9))
+    lines = prose.replace("</p>", "").split("<p>")[1:]
+    for wrap in (("", ""), ("<div>", "</div>"), ("<div><div class=w><div>", "</div></div></div>")):
+        page = f"<body><div id=a><div>{prose}</div><h2>Two</h2>{wrap[0]}<div>{prose}</div>{wrap[1]}</div><div><p>Short, other.</p></div></body>"
+        assert html_extract.main_text(page).split("\n") == [*lines, "Two", *lines]
+    assert html_extract.main_text("<p>If a < b and c > d then</p><p>x < 5</p>") == "If a < b and c > d then\nx < 5"
+    assert html_extract.main_text("<p>Seen <svg><title>no</title><path d='M0'/><text>drawn</text></svg></p>") == "Seen\ndrawn"
+    assert html_extract.main_text("<p>One <a href='x>two</a> three</p>") == "One two three"
+    for cut in ("<a " + 'x="y" ' * 10_000, "<a " + "x='y " * 10_001, "<a " + '"' * 100_001, "<!--" * 10_000, "</script" * 20_000, "<div>" * 20_000 + "x</p>" * 20_000):
+        began = time.monotonic()
+        html_extract.main_text("<p>Some text" + cut)
+        assert time.monotonic() - began < 3
+
+
 def components(rows, rule):
     sets = [set(jaccard_join.shingles(t, rule.k).tolist()) for _, t in rows]
     up = list(range(len(rows)))
