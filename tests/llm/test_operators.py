@@ -50,7 +50,7 @@ def sf(spark, tmp_path_factory):
     docs.repartition(3).write.parquet(f"{top}/documents.parquet")
     labels = [(i, 1, int(bool(t) and "moron" in t)) for i, t, _ in CORPUS if i is not None and i < 200] + [(None, 1, 1), (3, None, None), (4, 0, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
-    spark.createDataFrame([(1, ITEM), (2, None), (3, "short"), (None, "a text without an id that is long enough to be searched for")], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None), (3, "zqx no such"), (None, "a text without an id that is long enough to be searched for")], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 16))
     v[50:60] = v[0]
@@ -487,6 +487,72 @@ def test_qgram_filter_loses_nothing():
             assert min(f[2] for f in found) == true and found[0][0] == 1
 
 
+def bordered(item, text):
+    word = lambda c: c.isalnum() or ord(c) > 127
+    at = text.find(item)
+    while at >= 0:
+        if (at == 0 or not (word(text[at - 1]) and word(item[0]))) and (at + len(item) == len(text) or not (word(text[at + len(item)]) and word(item[-1]))):
+            return True
+        at = text.find(item, at + 1)
+    return False
+
+
+def test_items_of_any_size_equal_brute_force():
+    rnd = random.Random(21)
+    draw = lambda n: "".join(rnd.choice("abc d.") for _ in range(n))
+    for n in range(1, 41):
+        item = decontaminate.normal(draw(n)).decode() or "a"
+        patterns = decontaminate.Patterns([(7, item.encode())])
+        texts = []
+        for _ in range(25):
+            own = list(item)
+            for _ in range(rnd.randint(0, 3)):
+                own[rnd.randrange(len(own))] = rnd.choice(("", "x", "ab"))
+            texts.append(decontaminate.normal(draw(rnd.randint(0, 30)) + rnd.choice(("", " ")) + "".join(own) + rnd.choice(("", " ")) + draw(rnd.randint(0, 30))).decode())
+        got = {f[0] for f in patterns.search([t.encode() for t in texts])}
+        want = {i for i, t in enumerate(texts) if (bordered(item, t) if len(item) < 16 else edits(item, t) <= int(0.08 * len(item)))}
+        assert got == want, (item, [texts[i] for i in got ^ want])
+
+
+def test_regions_over_piece_borders_count_once():
+    rnd = random.Random(4)
+    item = decontaminate.normal(sentence(rnd, "en", 60))[:400].strip()
+    for raw in (item, item[:139].strip(), b"kw7q", b"peru is far"):
+        patterns = decontaminate.Patterns([(1, raw)])
+        text = bytearray(decontaminate.normal(sentence(rnd, "fr", 130_000) * 3)[: 2 << 20])
+        piece = decontaminate.PIECE
+        for border in (piece - len(raw) - 1, piece - 3, piece):  # before, across and after it
+            own = bytearray(text)
+            spots = [5000, border, piece + 3000, piece + 3000 + len(raw) + 1, len(text) - len(raw) - 3]
+            for at in spots:
+                own[at - 1 : at + len(raw) + 1] = b" " + raw + b" "
+            found = patterns.search([bytes(own)])
+            assert sorted((f[3], f[4], f[2]) for f in found) == [(at, at + len(raw), 0) for at in spots]
+
+
+def test_repetitive_texts_need_little_memory():
+    import tracemalloc
+
+    patterns = decontaminate.Patterns([(1, b"-" * 150), (2, b"ab" * 300)])
+    tracemalloc.start()
+    found = patterns.search([b"-" * 1_000_000, b"ab" * 500_000, b"-" * 80])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[:3] for f in found] == [(0, 1, 0), (1, 2, 0), (2, 1, 0)][: len(found)] and len(found) >= 2 and peak < 1 << 30
+
+
+def test_blocks_of_the_benchmark_meet_documents_in_one_pass(spark):
+    rnd = random.Random(8)
+    items = [(i, sentence(rnd, "en", 12)) for i in range(40)] + [(100, "Lima"), (101, "what is the capital of peru")]
+    docs = [(i, f"{sentence(rnd, 'fr', 30)} {items[i % 42][1].upper() if i % 2 else ''} {sentence(rnd, 'fr', 9)}") for i in range(90)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.leaks(d, b, n).collect())) for n in (1 << 20, 300))
+    assert one == many and {(r[0], r[1]) for r in one} >= {(i, items[i % 42][0]) for i in range(1, 90, 2)} and all(r[2] == 1 for r in one)
+    kept = decontaminate.clean(d, b, 300)
+    assert "MapInArrow" in kept._jdf.queryExecution().executedPlan().toString() and kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r[0] for r in kept.collect()) == sorted({i for i, _ in docs} - {r[0] for r in one})
+
+
 def test_langid(spark, sf):
     out = QUERIES["op8_langid"](spark, sf).collect()
     assert sorted(-1 if r[0] is None else r[0] for r in out) == IDS
