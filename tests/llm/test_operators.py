@@ -161,12 +161,34 @@ def test_beam_search_beats_greedy_encoding():
 
 def test_search_in_blocks_equals_one_block(spark, sf):
     rows = ann.valid(spark.read.parquet(f"{sf}/embeddings.parquet"))
-    books = ann.train(rows)
-    index = common.materialise(ann.build(rows, books))
-    one, many = (ann.search(index, books, rows.where("vec_id < 40"), block=b).collect() for b in (100, 8))
+    model = ann.train(rows, cells=4)
+    index = common.materialise(ann.build(rows, model))
+    one, many = (ann.search(index, model, rows.where("vec_id < 40"), block=b).collect() for b in (100, 8))
     assert sorted(one) == sorted(many)
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_measured_cells_and_margin_keep_the_recall(spark, clusters):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 24))
+    if clusters:
+        x = 8 * rng.normal(size=(clusters, 24))[rng.integers(0, clusters, 6000)] + x
+    df = spark.createDataFrame([(i, [float(y) for y in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    rows = ann.valid(df)
+    model = ann.train(rows, sample_rows=2000, cells=32)
+    assert model.probes <= 4 if clusters else model.probes > 4  # cells help where there are clusters
+    index = common.materialise(ann.build(rows, model))
+    got = {}
+    for r in ann.search(index, model, rows.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 60 and hit >= 0.9 * 600
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site name</h1></header><nav><a href=/>home</a></nav>
 <div class="cookie-banner"><p>We, and our partners, use cookies, of many kinds, here.</p></div><div class="layout"><div class="article-body"><h2>A &quot;title&quot;</h2>
 <p>First para, with <b>bold</b>  and&nbsp;space &#8212; yes.<p>Second one, unclosed</p><ul><li>item one<li>item two</ul><script>var x="<p>no</p>"</script><div class="ad">buy, buy, buy</div><blockquote>A quote.</blockquote></div>
