@@ -9,8 +9,9 @@ Since the statistics are frozen, the cost of a byte depends only on the ORDER +
 costs (one column per language) of all grams that training saw are kept in open-addressing hash tables and looked up
 for all bytes of a batch at once.
 
-Defined results: null text, empty text or text without a letter: ``und``, score 0. No training rows: ``und`` for all.
-A null doc_id counts as the empty text in the fold; equal code lengths go to the first language in code-point order.
+Defined results: null text, empty text or text without a letter (Unicode category L): ``und``, score 0. No training rows: ``und`` for all.
+A null doc_id counts as the empty text in the fold; every value of ``lang`` is a language with a tree of its own, so
+the model grows with their number, which is that of languages, not of rows; equal code lengths go to the first language in code-point order.
 ASCII capitals are read as small letters. Every text is coded whole, in pieces of ``PIECE`` bytes.
 """
 
@@ -34,11 +35,16 @@ SAMPLE_CHARS = 20_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LETTER = re.compile(r"[^\W\d_]")
+SIGN = re.compile(r"[^\W\d_]")
 PAD = b" " * ORDER
 NONE = np.uint64(0)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of a Unicode letter category occurs; number signs such as a half or a superscript are none."""
+    return any(m[0].isalpha() for m in SIGN.finditer(text))
+
+
 class GramTable:
     """Rows of float32 under uint64 keys: open addressing with linear probing, all look-ups vectorised."""
 
@@ -170,7 +176,7 @@ def train(docs: DataFrame, rows_per_lang: int = SAMPLE_ROWS, max_chars: int = SA
 
 def classify(model: PPM | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, posterior under equal priors, and bits per byte in that language."""
-    letters = np.array([LETTER.search(t) is not None for t in texts], bool)
+    letters = np.array([has_letter(t) for t in texts], bool)
     if model is None or not letters.any():
         return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     raw = [t.encode() if ok else b"" for t, ok in zip(texts, letters, strict=True)]

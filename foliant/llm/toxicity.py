@@ -1,7 +1,10 @@
 """Toxicity by multiple-instance learning: sentences are the instances, the label belongs to the document.
 
 A sentence with features S has p = sigmoid(b + sum of w over S); a document has 1 - prod(1 - p) over the sentences of
-its worst stretch of ``WINDOW`` (noisy-or; a shorter document is one stretch). Only document labels train w and b; afterwards the sentence probabilities locate the offending sentences.
+its worst stretch of ``WINDOW`` (noisy-or; a shorter document is one stretch). Only document labels train w and b;
+afterwards the sentence probabilities locate the offending sentences: those with p >= ``THRESHOLD`` anywhere and, in a
+document that scores as much, the fewest sentences of its worst stretch whose own noisy-or reaches it, likeliest first.
+So a document that is marked has a sentence that is located.
 Features are the words of a sentence and the 4- to 6-character pieces of its words with their ends marked. Training
 keeps those whose document counts speak for toxicity (log-likelihood ratio); all other sentences share the score of b.
 
@@ -67,24 +70,33 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + sum(self.weights[f] for f in sorted(features))))))
 
     def document(self, text: str) -> tuple[float, int, list[tuple[int, int, float]]]:
-        """Noisy-or score, number of sentences, and (start, end, p) of the sentences with p >= THRESHOLD."""
+        """Noisy-or score, number of sentences, and (start, end, p) of the offending sentences."""
         lower = text.lower() if text.isascii() else text  # offsets are those of the text itself
-        n, logs, run, log_clean, base, found = 0, [], 0.0, 0.0, self.sentence(set()), []
+        base, spans, logs, run, log_clean, worst, found = self.sentence(set()), [], [], 0.0, 0.0, 0, []
         if not WORD.search(text):
             return 0.0, 0, []
         for m in SENTENCE.finditer(lower):
             words = WORD.findall(m[0] if lower is not text else m[0].lower())
             if not words:
                 continue
-            n += 1
             features = {f for w in set(words) for f in self.word(w)}
             p = self.sentence(features) if features else base
+            spans.append((m.start(), m.end(), p))
             logs.append(math.log1p(-min(p, 1 - 1e-15)))
-            run += logs[-1] - (logs[-1 - WINDOW] if n > WINDOW else 0.0)
-            log_clean = min(log_clean, run)
-            if features and p >= THRESHOLD:
-                found.append((m.start(), m.end(), p))
-        return 0.0 - math.expm1(log_clean), n, found
+            run += logs[-1] - (logs[-1 - WINDOW] if len(logs) > WINDOW else 0.0)
+            if run < log_clean:
+                log_clean, worst = run, len(logs)
+            if p >= THRESHOLD:
+                found.append(len(logs) - 1)
+        score = 0.0 - math.expm1(log_clean)
+        if score >= THRESHOLD and not any(worst - WINDOW <= i < worst for i in found):
+            left = math.log1p(-THRESHOLD)
+            for i in sorted(range(max(0, worst - WINDOW), worst), key=lambda i: (logs[i], i)):
+                found.append(i)
+                left -= logs[i]
+                if left >= 0:
+                    break
+        return score, len(spans), [spans[i] for i in sorted(found)]
 
 
 def words_of(text: str) -> str:

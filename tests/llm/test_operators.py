@@ -103,7 +103,25 @@ def test_noisy_or_matches_its_definition():
     m = toxicity.Model({"^bad$": 3.0}, -4.0)
     score, n, found = m.document("A bad one. Fine day.\nAll good! Bad bad")
     p = lambda z: 1 / (1 + np.exp(-z))
-    assert n == 4 and score == pytest.approx(1 - (1 - p(-1.0)) ** 2 * (1 - p(-4.0)) ** 2) and not found
+    assert n == 4 and score == pytest.approx(1 - (1 - p(-1.0)) ** 2 * (1 - p(-4.0)) ** 2) and not found and score < 0.5
+
+
+def test_a_marked_document_has_a_located_sentence():
+    rnd = random.Random(5)
+    m = toxicity.Model({"^dull$": 2.6, "^vile$": 6.0, "^grim$": 3.4}, -4.0)
+    p = lambda s: 1 / (1 + np.exp(4.0 - sum({"dull": 2.6, "vile": 6.0, "grim": 3.4}.get(w, 0) for w in set(s.split()))))
+    for _ in range(300):
+        own = [" ".join(rnd.choice(("fine", "day", "so", "dull", "grim", "vile") if rnd.random() < 0.3 else ("fine", "day")) for _ in range(4)) for _ in range(rnd.randint(1, 60))]
+        score, n, found = m.document(". ".join(own) + ".")
+        ps = [p(s) for s in own]
+        stretches = [range(a, min(a + 32, len(own))) for a in range(max(1, len(own) - 31))]
+        scores = [1 - np.prod([1 - ps[i] for i in r]) for r in stretches]
+        assert n == len(own) and score == pytest.approx(max(scores))
+        assert bool(found) == (score >= 0.5)
+        picked = [i for i, x in enumerate(ps) if any(abs(x - f[2]) < 1e-12 for f in found)]
+        assert {i for i, x in enumerate(ps) if x >= 0.5} <= set(picked)
+        if score >= 0.5:
+            assert max(1 - np.prod([1 - f[2] for f in found]), max(ps)) >= 0.5 - 1e-12
 
 
 @pytest.mark.parametrize("name", ["content has-sidebar", "layout-no-sidebar", "page with-comments", "widget", "ad"])
@@ -584,6 +602,16 @@ def test_langid(spark, sf):
     assert all(r["held_out"] == fold(r["doc_id"]) and 0 <= r["score"] <= 1 for r in out)
 
 
+def test_only_letters_make_a_language():
+    model = langid.PPM({"a": [b"abra"], "b": [b"banana"]})
+    for t in ("", "12 ½ ²", "Ⅷ ① _", "٣", "🙂 ½"):
+        assert langid.classify(model, [t])[0] == ["und"], t
+    for t in ("é", "½a", "日", "ª"):
+        assert langid.classify(model, [t])[0] != ["und"], t
+    long = "banana ½ " * 200_000  # several pieces
+    assert langid.classify(model, [long, ""])[0] == ["b", "und"]
+
+
 def test_ppm_code_lengths_match_a_plain_tree():
     train = {"a": [b"abracadabra abra", b"cadabra"], "b": [b"banana bandana"]}
     model = langid.PPM(train, order=3)
