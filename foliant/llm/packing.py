@@ -296,9 +296,65 @@ def unpack(rows: DataFrame, width: int = 2) -> DataFrame:
     return own.select("doc_id", F.unhex(F.concat_ws("", F.col("all.x"))).alias("ids"))
 
 
+#: Sequences of one matrix: 64 rows of 4,096 ids of two bytes are 512 KB.
+MATRIX_ROWS = 64
+
+
+def matrices(rows: DataFrame, capacity: int = CAPACITY, width: int = 2, most: int = MATRIX_ROWS) -> DataFrame:
+    """Packed rows as id matrices of up to ``most`` rows x ``capacity`` columns, row by row in one piece of memory.
+
+    shape has the numbers of rows and columns, ids the matrix, ids_crc32 its checksum, sequence_ids the number of each
+    row; cu_seqlens and position_resets are those of all rows one after another, counted within their row, and
+    row_segments says how many segments (doc_ids, pieces) each row has.
+    """
+    names = ["part", "matrix", "shape", "sequence_ids", "row_segments", "cu_seqlens", "position_resets", "doc_ids", "pieces", "ids_crc32", "ids"]
+    lists = pa.list_(pa.int64())
+
+    def made(nth: int, own: list[pa.RecordBatch]) -> pa.RecordBatch:
+        tab = pa.Table.from_batches(own)
+        ids = b"".join(tab["ids"].to_pylist())
+        n = tab.num_rows
+        if len(ids) != n * capacity * width:
+            raise ValueError(f"rows are not {capacity} ids of {width} bytes")
+        flat = lambda c: tab[c].combine_chunks().flatten().to_pylist()
+        doc_ids = tab["doc_ids"].combine_chunks()
+        cols = [[TaskContext.get().partitionId()], [nth], [[n, capacity]], [tab["sequence_id"].to_pylist()], [[len(x) for x in doc_ids]], [flat("cu_seqlens")], [flat("position_resets")], [flat("doc_ids")], [flat("pieces")], [zlib.crc32(ids)], [ids]]
+        types = [pa.int64(), pa.int64(), *[lists] * 7, pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, nth = [], 0, 0
+        for batch in batches:
+            while batch.num_rows:
+                own = batch.slice(0, most - size)
+                held.append(own)
+                size, batch = size + own.num_rows, batch.slice(own.num_rows)
+                if size == most:
+                    yield made(nth, held)
+                    held, size, nth = [], 0, nth + 1
+        if held:
+            yield made(nth, held)
+
+    schema = "part long, matrix long, shape array<bigint>, sequence_ids array<bigint>, row_segments array<bigint>, cu_seqlens array<bigint>, position_resets array<bigint>, doc_ids array<bigint>, pieces array<bigint>, ids_crc32 long, ids binary"
+    return rows.select("sequence_id", "cu_seqlens", "position_resets", "doc_ids", "pieces", "ids").mapInArrow(run, schema)
+
+
+def write_matrices(made: DataFrame, folder: str) -> None:
+    """Write matrices as uncompressed files below ``folder``: ids lie in them as they are in memory.
+
+    They go through Spark's own writer, so that they reach any shared file system and a lost task leaves nothing behind.
+    """
+    made.write.option("compression", "none").parquet(folder)
+
+
+def matrix_of(row, width: int = 2) -> np.ndarray:
+    """The id matrix of a row of :func:`matrices`."""
+    return np.frombuffer(row["ids"], f"<u{width}").reshape(row["shape"])
+
+
 def op6_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packed_rows(pack(docs, plan_best_fit, BYTE_BPE, BYTE_END, with_ids=True), pad=BYTE_END)
+    return matrices(packed_rows(pack(docs, plan_best_fit, BYTE_BPE, BYTE_END, with_ids=True), pad=BYTE_END))
 
 
 def op10_min_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

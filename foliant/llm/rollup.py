@@ -5,7 +5,8 @@ them off, a revision takes the old counts off and adds the new ones. :meth:`Roll
 row per (source, lang, version) before anything is written, stores it below the batch's own folder and so is idempotent:
 a batch is committed when its folder has Spark's success mark, and committing it again changes nothing; a folder left
 half-written by a lost driver is overwritten. :meth:`Rollup.totals` sums the committed batches; :meth:`Rollup.compact`
-folds them into one base folder that remembers the batches it holds.
+folds them into one base folder that remembers the batches it holds, and removes all bases but the one before, which a
+reader may still be at. Names of batches are kept for good: without them a late repetition could not be told from news.
 
 Defined results: null source, lang or version form groups of their own; null text counts 0 tokens and 0 bytes; an empty
 batch commits and changes nothing; a group whose documents cancel out is left out of the totals; repeated rows of a
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import scratch_dir, small_batches, table
-from foliant.llm.tokens import BYTE_BPE, tokenizer
+from foliant.llm.common import materialise, scratch_dir, small_batches, table
+from foliant.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer
 
 KEYS = ["source", "lang", "version"]
 SUMS = ["docs", "tokens", "bytes"]
@@ -108,15 +109,46 @@ class Rollup:
         names = self.spark.createDataFrame([(b,) for b in held], "batch string")
         names.coalesce(1).write.mode("overwrite").json(f"{self.path}/held={n}")
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base={n}")
-        for b in self._folders("batch"):
-            if b in held:
-                self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={b}"), True)
+        gone = [f"batch={b}" for b in self._folders("batch") if b in held]
+        gone += [f"{kind}={old}" for old in self._folders("base")[:-2] for kind in ("base", "held")]
+        for folder in gone:
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}"), True)
+
+
+#: Batches of documents that op9 commits.
+PARTS = 4
+
+
+def estimated(rows: DataFrame) -> DataFrame:
+    """Provisional counts: a token per four bytes, rounded up."""
+    return rows.withColumn("tokens", F.ceil(F.col("bytes") / 4).cast("long"))
+
+
+def maintained(rollup: Rollup, first: DataFrame, second: DataFrame) -> DataFrame:
+    """Totals of two tokenizer versions after inserts, revisions, deletes and repeated commits of all documents.
+
+    Documents arrive in ``PARTS`` batches with estimated counts of the first version and are revised to its exact ones,
+    part by part; one part is deleted and inserted again; the second version's counts come in as one more batch. Every
+    batch is delivered twice, and the batches are compacted half-way and at the end.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    for p in range(PARTS):
+        own = first.where(part == p)
+        for _ in range(2):
+            rollup.commit(f"insert-{p}", inserts(estimated(own)))
+            rollup.commit(f"revise-{p}", revisions(estimated(own), own))
+    rollup.compact()
+    for _ in range(2):
+        rollup.commit("delete-0", deletes(first.where(part == 0)))
+        rollup.commit("insert-0-again", inserts(first.where(part == 0)))
+        rollup.commit("second", inserts(second))
+        rollup.commit("insert-0", inserts(estimated(first.where(part == 0))))  # late, and in the base by now
+    rollup.compact()
+    return rollup.totals()
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents committed as one batch of inserts, twice (the second commit changes nothing), then the totals."""
-    rollup = Rollup(spark, scratch_dir(spark))
-    rows = inserts(counted(table(spark, sf_dir, "documents")))
-    rollup.commit("documents", rows)
-    rollup.commit("documents", rows)
-    return rollup.totals()
+    """Totals by source, language and version of two tokenizers; see :func:`maintained`."""
+    docs = table(spark, sf_dir, "documents")
+    first, second = (materialise(counted(docs, path, path)) for path in (BYTE_BPE, WORD_BPE))  # a few numbers a document
+    return maintained(Rollup(spark, scratch_dir(spark)), first, second)

@@ -459,15 +459,32 @@ def test_ranks_by_shuffle_equal_a_good_packing(spark, sf):
     assert check_packing(a) == check_packing(b) and len(a) == len(b)
 
 
-def test_packed_matrices_round_trip(spark, sf):
-    rows = QUERIES["op6_pack_binary"](spark, sf)
+def test_packed_matrices_round_trip(spark, sf, tmp_path):
+    coder = tokenizer(BYTE_BPE)
+    want = {i: [*coder.lib.encode_ordinary(t or ""), 50256] for i, t, _ in CORPUS if i is not None and i != 5}
+    placed = common.materialise(packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), packing.plan_best_fit, BYTE_BPE, 50256, with_ids=True))
+    rows = packing.packed_rows(placed, pad=50256)
     for r in rows.collect():
         ids = np.frombuffer(r["ids"], "<u2")
         assert len(ids) == 4096 and r["cu_seqlens"][-1] == r["n_tokens"] and r["position_resets"] == r["cu_seqlens"][:-1] and zlib.crc32(r["ids"]) == r["ids_crc32"]
-    coder = tokenizer(BYTE_BPE)
-    want = {i: [*coder.lib.encode_ordinary(t or ""), 50256] for i, t, _ in CORPUS if i is not None and i != 5}
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in packing.unpack(rows).collect()}
     assert {i: got[i] for i in want} == want
+    packing.write_matrices(packing.matrices(rows, most=3), f"{tmp_path}/m")
+    for made in (spark.read.parquet(f"{tmp_path}/m"), QUERIES["op6_pack_binary"](spark, sf)):
+        pieces, sequences = {}, []
+        for r in made.collect():
+            m = packing.matrix_of(r)
+            assert m.shape == tuple(r["shape"]) and len(m) <= 64 and zlib.crc32(m.tobytes()) == r["ids_crc32"] and len(r["sequence_ids"]) == len(m)
+            sequences += r["sequence_ids"]
+            cell = 0
+            for k, n in enumerate(r["row_segments"]):
+                cu, resets = r["cu_seqlens"][cell + k : cell + k + n + 1], r["position_resets"][cell : cell + n]
+                assert cu[0] == 0 and cu[:-1] == resets and (m[k, cu[-1] :] == 50256).all()
+                for j in range(n):
+                    pieces.setdefault(r["doc_ids"][cell + j], []).append((r["pieces"][cell + j], m[k, cu[j] : cu[j + 1]].tolist()))
+                cell += n
+            assert cell == len(r["doc_ids"]) == len(r["pieces"])
+        assert {i: [x for _, p in sorted(pieces[i]) for x in p] for i in want} == want and sorted(sequences) == list(range(len(sequences)))
 
 
 def test_wide_ids_round_trip_and_narrow_ones_never_wrap(spark, sf):
@@ -638,12 +655,13 @@ def test_ppm_code_lengths_match_a_plain_tree():
 
 def test_rollup(spark, sf, tmp_path):
     out = {tuple(r)[:3]: tuple(r)[3:] for r in QUERIES["op9_token_counts"](spark, sf).collect()}
-    coder, want = tokenizer(BYTE_BPE), {}
+    byte, word, want = tokenizer(BYTE_BPE), tokenizer(WORD_BPE), {}
     for i, t, lang in CORPUS:
-        k = ("s" if i and i % 2 else None, lang, BYTE_BPE)
-        a = want.get(k, (0, 0, 0))
-        want[k] = (a[0] + 1, a[1] + len(coder.lib.encode_ordinary(t or "")), a[2] + len((t or "").encode()))
-    assert out == want
+        for version, n in ((BYTE_BPE, len(byte.lib.encode_ordinary(t or ""))), (WORD_BPE, len(word.lib.encode(t or "", add_special_tokens=False).ids))):
+            k = ("s" if i and i % 2 else None, lang, version)
+            a = want.get(k, (0, 0, 0))
+            want[k] = (a[0] + 1, a[1] + n, a[2] + len((t or "").encode()))
+    assert out == want  # a recount of all documents
     r = rollup.Rollup(spark, str(tmp_path))
     rows = spark.createDataFrame([(1, "s", "en", "v", 5, 9), (2, "s", "en", "v", 7, 8), (3, None, None, "v", 1, 1)], "doc_id long, source string, lang string, version string, tokens long, bytes long")
     assert r.totals().count() == 0
@@ -654,7 +672,12 @@ def test_rollup(spark, sf, tmp_path):
     want = [("s", "en", "v", 2, 57, 17)]
     assert list(map(tuple, r.totals().collect())) == want
     r.compact()
-    assert list(map(tuple, r.totals().collect())) == want and r.batches() == {"b1", "b2", "b3", "b4"} and not r.commit("b2", rollup.inserts(rows))
+    for n in range(3):
+        r.commit(f"c{n}", rollup.inserts(rows))
+        r.commit(f"d{n}", rollup.deletes(rows))
+        r.compact()
+    assert len(r._folders("base")) == 2 and not r._folders("batch")
+    assert list(map(tuple, r.totals().collect())) == want and r.batches() - {f"{x}{n}" for x in "cd" for n in range(3)} == {"b1", "b2", "b3", "b4"} and not r.commit("b2", rollup.inserts(rows))
     with pytest.raises(ValueError):
         r.commit("../x", rows)
 
