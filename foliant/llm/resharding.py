@@ -9,7 +9,9 @@ text that holds very many bytes) is cut again: by a second hash of the text, and
 of block sizes are bounded by these numbers, not by the data.
 
 Only files of shards that give or take blocks are written again (:func:`rewrite`): a manifest names each shard's folder
-and is replaced last.
+and is replaced last. Rows go from their own reading straight to files of their shard, so no task and no shuffle ever
+holds a shard: a task writes what its share of the old files has for each new shard. The query lays documents out in old
+shards, rewrites the affected ones, and returns what it then reads from the new files.
 
 Law of the query: ``bytes``. Defined results: null text counts as empty (size 1, crc 0); null and repeated doc_ids are
 rows like others; an empty table gives no rows; rows alike in id and text beyond one shard's share stay together.
@@ -23,8 +25,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliant.llm.common import gapless_rank, materialise, table
+from foliant.llm.common import gapless_rank, materialise, scratch_dir, table
 
 OLD_SHARDS = 12
 NEW_SHARDS = 16
@@ -140,57 +143,90 @@ def reshard(rows: DataFrame, capacity: list[int] | None = None, old_shards: int
     return full.join(F.broadcast(shards), names).drop("b0", "b1", "b2")  # a row per block: old_shards * BLOCKS and some
 
 
-def measured(docs: DataFrame, old_shards: int = OLD_SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, key, row and the old shard (by a hash of the text) of each document."""
-    raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("key"))
-    return slim.select("*", F.xxhash64("doc_id", "key").alias("row"), F.pmod(F.xxhash64("key", F.lit("old")), F.lit(old_shards)).cast("int").alias("old_shard"))
+def facts(docs: DataFrame, old_shards: int = OLD_SHARDS) -> dict[str, Column]:
+    """size, text_crc32, key (hash of the text), row (hash of the row) and the old shard (by a hash of the text) of a document."""
+    raw = F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")
+    key, doc_id = F.xxhash64(raw), docs["doc_id"].cast("long")
+    old = F.pmod(F.xxhash64(key, F.lit("old")), F.lit(old_shards)).cast("int")
+    return {"doc_id": doc_id, "size": (F.octet_length(raw) + 1).cast("long"), "text_crc32": F.crc32(raw), "key": key, "row": F.xxhash64(doc_id, key), "old_shard": old}
+
+
+def measured(docs: DataFrame, old_shards: int = OLD_SHARDS, *more: str) -> DataFrame:
+    """The :func:`facts` of each document, and ``more`` of its columns."""
+    return docs.select(*[c.alias(n) for n, c in facts(docs, old_shards).items()], *more)
+
+
+#: Columns of a layout, whose names no table of documents has.
+OLD, NEW = "__old_shard", "__shard"
 
 
 def rewrite(layout: DataFrame, folder: str) -> dict[int, str]:
-    """Bring the files below ``folder`` to ``layout``, rows with all their columns, old_shard and shard.
+    """Bring the files below ``folder`` to ``layout``: rows with all their columns, ``OLD`` and ``NEW`` shard.
 
     Shards that neither give nor take rows keep their folder; the others are written to new ones. The manifest, which
     readers follow, is replaced at the end, so a reader or a lost driver never leaves a mixture.
     """
     spark = layout.sparkSession
-    moves = layout.where(F.col("old_shard") != F.col("shard")).select("old_shard", "shard").distinct().collect()  # pairs of shards
-    touched = sorted({x for r in moves for x in r})
     held = manifest(spark, folder)
-    missing = sorted({r[0] for r in layout.select("shard").distinct().collect()} - set(held) - set(touched))
-    run = uuid.uuid4().hex
-    out = layout.where(F.col("shard").isin(touched + missing)).drop("old_shard")
-    out.repartition("shard").write.partitionBy("shard").parquet(f"{folder}/data-{run}")
-    new = {s: p for s, p in held.items() if s not in touched} | {r[0]: f"data-{run}/shard={r[0]}" for r in spark.read.parquet(f"{folder}/data-{run}").select("shard").distinct().collect()}
+    moves = layout.where(F.col(OLD) != F.col(NEW)).select(OLD, NEW).distinct().collect() if held else []  # pairs of shards
+    touched = sorted({x for r in moves for x in r})
+    new = {s: p for s, p in held.items() if s not in touched}
+    if touched or not held:
+        name = f"data-{uuid.uuid4().hex}"
+        rows = layout.where(F.col(NEW).isin(touched)) if held else layout
+        setting = "spark.sql.maxConcurrentOutputFileWriters"
+        before = spark.conf.get(setting, "0")
+        spark.conf.set(setting, "64")  # one open file for each shard instead of a sort of whole rows
+        try:
+            rows.drop(OLD).write.partitionBy(NEW).parquet(f"{folder}/{name}")
+        finally:
+            spark.conf.set(setting, before)
+        new |= {int(p.rpartition("=")[2]): f"{name}/{p}" for p in children(spark, f"{folder}/{name}", f"{NEW}=*")}
     version = max(versions(spark, folder), default=0) + 1
-    spark.createDataFrame([(json.dumps(new),)], "value string").coalesce(1).write.text(f"{folder}/manifest={version:08d}")
+    text = json.dumps({"shards": new, "schema": layout.drop(OLD, NEW).schema.json()})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/manifest={version:08d}")
     return new
 
 
+def children(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    return [s.getPath().getName() for s in top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top) or []]
+
+
 def versions(spark: SparkSession, folder: str) -> list[int]:
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest=*/_SUCCESS")
-    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top)
-    return [int(s.getPath().getParent().getName().partition("=")[2]) for s in found or []]
+    return [int(n.partition("=")[2]) for n in children(spark, folder, "manifest=*") if children(spark, f"{folder}/{n}", "_SUCCESS")]
+
+
+def newest(spark: SparkSession, folder: str) -> dict:
+    have = versions(spark, folder)
+    return json.loads(spark.read.text(f"{folder}/manifest={max(have):08d}").first()[0]) if have else {"shards": {}, "schema": None}
 
 
 def manifest(spark: SparkSession, folder: str) -> dict[int, str]:
     """Folder of each shard, as the newest manifest has it."""
-    if not (have := versions(spark, folder)):
-        return {}
-    return {int(s): p for s, p in json.loads(spark.read.text(f"{folder}/manifest={max(have):08d}").first()[0]).items()}
+    return {int(s): p for s, p in newest(spark, folder)["shards"].items()}
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [spark.read.parquet(f"{folder}/{p}").withColumn("shard", F.lit(s)) for s, p in sorted(manifest(spark, folder).items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def read_shards(spark: SparkSession, folder: str, name: str = NEW) -> DataFrame:
+    """All rows with their columns, and their shard under ``name``."""
+    have = newest(spark, folder)
+    schema = T.StructType.fromJson(json.loads(have["schema"]))
+    out = None
+    for s, p in sorted((int(s), p) for s, p in have["shards"].items()):
+        part = spark.read.schema(schema).parquet(f"{folder}/{p}").withColumn(name, F.lit(s))
+        out = part if out is None else out.union(part)
+    return out if out is not None else spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(name, T.IntegerType())]))
 
 
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents laid out in ``OLD_SHARDS`` shards, moved to ``NEW_SHARDS`` of equal bytes."""
-    rows = materialise(reshard(materialise(measured(table(spark, sf_dir, "documents")))))
+    """Documents in ``OLD_SHARDS`` shards, brought to ``NEW_SHARDS`` of equal bytes, as their files then have them."""
+    docs, folder = table(spark, sf_dir, "documents"), scratch_dir(spark)
+    rewrite(docs.withColumns({OLD: F.lit(-1), NEW: facts(docs)["old_shard"]}), folder)
+    held = read_shards(spark, folder, OLD)
+    own = facts(held)
+    planned = reshard(held.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), F.col(OLD).alias("old_shard"), *[own[n].alias(n) for n in ("size", "key", "row")]))
+    rewrite(planned.select("doc.*", F.col("old_shard").alias(OLD), F.col("shard").alias(NEW)), folder)
+    rows = materialise(measured(read_shards(spark, folder), OLD_SHARDS, NEW).withColumnRenamed(NEW, "shard"))
     return gapless_rank(rows, ["shard"], ["doc_id", "key"], "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved"),

@@ -381,14 +381,32 @@ def test_reshard_splits_a_hot_text_and_balances(spark):
 
 
 def test_rewrite_touches_only_what_changes(spark, tmp_path):
-    base = spark.range(60).select("id", (F.col("id") % 4).cast("int").alias("old_shard"))
-    resharding.rewrite(base.withColumn("shard", F.col("old_shard")), str(tmp_path))
+    old, new = resharding.OLD, resharding.NEW
+    base = spark.range(60).select("id", F.lit("mine").alias("shard"), (F.col("id") % 4).cast("int").alias(old))
+    assert resharding.manifest(spark, str(tmp_path)) == {}
+    resharding.rewrite(base.withColumn(new, F.col(old)), str(tmp_path))
     first = resharding.manifest(spark, str(tmp_path))
-    layout = resharding.read_shards(spark, str(tmp_path)).withColumnRenamed("shard", "old_shard").withColumn("shard", F.expr("IF(old_shard = 3 AND id > 30, 4, old_shard)"))
+    layout = resharding.read_shards(spark, str(tmp_path), old).withColumn(new, F.expr(f"IF({old} = 3 AND id > 30, 4, {old})"))
     second = resharding.rewrite(layout, str(tmp_path))
     assert {s for s in first if first[s] == second.get(s)} == {0, 1, 2}
-    got = {(r["id"], r["shard"]) for r in resharding.read_shards(spark, str(tmp_path)).collect()}
-    assert got == {(i, 4 if i % 4 == 3 and i > 30 else i % 4) for i in range(60)}
+    got = {(r["id"], r["shard"], r[new]) for r in resharding.read_shards(spark, str(tmp_path)).collect()}
+    assert got == {(i, "mine", 4 if i % 4 == 3 and i > 30 else i % 4) for i in range(60)}
+    third = resharding.rewrite(resharding.read_shards(spark, str(tmp_path), old).withColumn(new, F.col(old)), str(tmp_path))
+    assert third == second
+
+
+def test_reshard_places_every_copy_of_a_text_together_and_evenly(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = QUERIES["op5_reshard"](spark, "/root/testdata/sf0.01").collect()
+    assert len(out) == docs.count()
+    homes, sizes, least = {}, {}, 0
+    for r in out:
+        homes.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+        least += r["size"] if r["moved"] else 0
+    assert all(len(h) == 1 for h in homes.values()) and max(sizes.values()) < 1.02 * sum(sizes.values()) / 16
+    total = sum(sizes.values())
+    assert least < 1.1 * (total - 12 * total / 16) + 0.03 * total  # what twelve shards have beyond a sixteenth each
 
 
 def check_packing(pieces, capacity=4096):
