@@ -92,12 +92,45 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, sp
     return ranked.join(sizes, on).withColumn(out, F.col(out) + F.col("__base")).select(*df.columns, out)
 
 
+#: Most rows of a side that is broadcast (a few dozen bytes each); beyond it the join shuffles.
+BROADCAST_ROWS = 300_000
+#: A key is heavy if it has more than this share of a table's rows, and at least so many: so there are at most 1,000.
+HEAVY_SHARE, HEAVY_LEAST = 1_000, 1_000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``big``, a written table in which one key may have any share of the rows, with the one row of ``small`` for its key.
+
+    Rows of a heavy key are dealt to as many parts as it has thousandths of the table, and its row of ``small`` is copied
+    to each; so no task takes more than that of one key, and ``small`` grows by at most 2,000 rows.
+    """
+    spark = big.sparkSession
+    limit = max(HEAVY_LEAST, big.count() // HEAVY_SHARE)
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > limit)
+    heavy = [(r[0], -(-r[1] // limit)) for r in counts.collect()]  # fewer than HEAVY_SHARE
+    if not heavy:
+        return big.join(small, key, how)
+    kind = big.schema[key].dataType.simpleString()
+    deal = F.broadcast(spark.createDataFrame(heavy, f"{key} {kind}, __s int"))
+    one = F.coalesce("__s", F.lit(1))
+    dealt = big.join(deal, key, "left").withColumn("__p", F.pmod(F.monotonically_increasing_id(), one).cast("int")).drop("__s")
+    copied = small.join(deal, key, "left").withColumn("__p", F.explode(F.sequence(F.lit(0), one - 1))).drop("__s")
+    return dealt.join(copied, [key, "__p"], how).drop("__p")
+
+
+def match(big: DataFrame, small: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Join with a table of one row a key: broadcast if ``rows`` (or a count) says that it is small, else :func:`spread_join`."""
+    rows = small.count() if rows is None else rows
+    return big.join(F.broadcast(small), key, how) if rows <= BROADCAST_ROWS else spread_join(big, small, key, how)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Alternates the large-star and small-star steps, each round a shuffle of the edges only, until nothing changes; every
     round's edges are written to the scratch folder. A node's neighbours are never gathered: both steps take the
-    minimum by partial aggregation and join it back.
+    minimum by partial aggregation and join it back, by broadcast where the edges are few, and otherwise with the edges
+    of a heavy node dealt to many parts.
     """
     cols = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     now = materialise(edges.where(F.col("a") != F.col("b")).select(*cols).distinct())
@@ -107,18 +140,21 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last or not mark[0]:
             break
-        last = mark
+        last, nodes = mark, 2 * mark[0]  # as many at most
         # large star: every larger neighbour of u moves to the smallest of u's neighbourhood
         pairs = both(now)
         least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = pairs.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("m").alias("a"), F.col("b"))
+        large = match(pairs.where(F.col("b") > F.col("a")), least, "a", rows=nodes).select(F.col("m").alias("a"), F.col("b"))
         large = large.where(F.col("a") != F.col("b")).distinct()
+        if nodes > BROADCAST_ROWS:
+            large = materialise(large)
         # small star: every smaller neighbour of v, and v, move to the smallest of them
-        small_min = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(small_min, "b")
+        small = match(large, large.groupBy("b").agg(F.min("a").alias("m")), "b", rows=nodes)
         moved = small.select(F.col("m").alias("x"), F.col("a").alias("y")).union(small.select(F.col("m").alias("x"), F.col("b").alias("y")))
         new = materialise(moved.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
         drop_table(now)
+        if nodes > BROADCAST_ROWS:
+            drop_table(large)
         now = new
     else:
         raise RuntimeError(f"components still change after {rounds} rounds")

@@ -9,7 +9,7 @@ How it is spread out:
 1. A set with more than ``(1 - t) * n`` shingles that no other set has is linked with nothing. The shingles of one hash
    class, a fixed share of all hashes, are counted over all documents; sets that have so many unique ones in it alone
    are done. A task sends equal sets once and a shingle once, so frequent shingles stay small.
-2. The other sets are counted into ``BUCKETS`` hashed counts, the frequency order. It affects speed, never the result.
+2. The other sets are counted into hashed counts, a few for each set, the frequency order. It affects speed, never the result.
    Two sets at the threshold share one of the rarest ``n - ceil(t * n) + 1`` shingles of each, so every set is sent to
    those keys with its size and its point. Keys with more than ``HOT`` sets are cut into blocks that meet in pairs.
 3. Within a key, an R-tree over the points (boxes of sizes and largest counts) finds the pairs that pass the bound.
@@ -18,8 +18,9 @@ How it is spread out:
    sets, skipping those already connected. In clusters of more than ``BLOCK`` sets all are first compared with one
    pivot, and the triangle inequality leaves only some blocks to meet in pairs.
 
-Nothing is sampled or capped and no pair is lost; hot keys and clusters are split, not gathered. Equal sets share a
-node (a 64-bit hash of the set) and meet their documents again in one join at the end.
+Nothing is sampled or capped and no pair is lost; hot keys, copies and clusters are split, not gathered. Equal sets share
+a node (a hash of the set; another 64 bits tell sets apart whose nodes happen to be the same) and meet their documents
+again in one join at the end, in which the copies of one text are dealt to many tasks.
 
 Defined results: texts without words have the empty set, size 0, and are linked with nothing; shorter texts than k words
 have their whole sequence as one shingle; a null doc_id is never smallest, and its component is that of its text or
@@ -36,18 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import connected_components, drop_table, materialise, parts, scratch_dir, small_batches, table
+from foliant.llm.common import BROADCAST_ROWS, connected_components, drop_table, match, materialise, parts, scratch_dir, small_batches, spread_join, table
 
 GROUPS = 32
-BUCKETS = 1 << 17
+#: Least and most hashed counts of the frequency order (powers of two), and counts for each set.
+BUCKETS, MOST_BUCKETS, BUCKETS_PER_SET = 1 << 17, 1 << 21, 4
 #: Share of all hashes whose shingles are counted, as a multiple of 1 - t; and how many a task holds at once.
 CLASS_SHARE = 1.8
 CHUNK = 1 << 20
 HOT = 8_192
 BLOCK = 128
 LEAF = 32
-#: Most rows of a side that is broadcast (a few dozen bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 300_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xD6E8FEB86659FD93)
@@ -89,8 +89,10 @@ def counts_of(v: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(v == 255, n[:, None], np.minimum(v * scale(n)[:, None], n[:, None])).astype(np.int32)
 
 
-def node_of(own: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(own.tobytes()), "little", signed=True)
+def node_of(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set: its node, and what tells sets of one node apart."""
+    raw = xxhash.xxh3_128_digest(own.tobytes())
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 class Rule:
@@ -175,29 +177,32 @@ class CountTree:
 
 
 def frequency_order(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """Hashed document counts of all shingles: BUCKETS numbers, whatever the corpus' size."""
-    k = rule.k
+    """Hashed document counts of all shingles: a few for each set, MOST_BUCKETS at most."""
+    k, buckets = rule.k, BUCKETS
+    sets = docs.count()
+    while buckets < min(MOST_BUCKETS, BUCKETS_PER_SET * sets):
+        buckets *= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             got = [shingles(t, k) for t in batch.column("text").to_pylist()]
             if got:
-                total += np.bincount((np.concatenate(got) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                total += np.bincount((np.concatenate(got) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
         at = np.flatnonzero(total)
         for a in range(0, len(at), 65_536):
             part = at[a : a + 65_536]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bucket", "n"])
 
     sums = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(buckets, np.int64)
     out[sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
     return out
 
 
 def rare_keys(own: np.ndarray, rule: Rule, counts: np.ndarray) -> np.ndarray:
     """The set's prefix in the frequency order; ties of the order come along whole."""
-    rank = (np.minimum(counts[(own % np.uint64(BUCKETS)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (own >> np.uint64(24))
+    rank = (np.minimum(counts[(own % np.uint64(len(counts))).astype(np.int64)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (own >> np.uint64(24))
     p = rule.prefix(len(own))
     return own if p >= len(own) else own[rank <= np.partition(rank, p - 1)[p - 1]]
 
@@ -210,7 +215,7 @@ def in_class(own: np.ndarray, rule: Rule) -> np.ndarray:
 def surveyed(slim: DataFrame, rule: Rule) -> DataFrame:
     """Rows of three kinds, from one reading of the texts.
 
-    doc (doc_id, th, node, n): every document. sent (node, n, c, s): a set that the task came upon first, its shingles
+    doc (doc_id, th, node, n, key): every document; key tells sets of one node apart. sent (node, n, c, s): a set that the task came upon first, its shingles
     in the class, and how many of them other sets of the task have. hash (key, node): a class shingle and its set, or
     node 0 where several sets of the task have it.
     """
@@ -238,7 +243,7 @@ def surveyed(slim: DataFrame, rule: Rule) -> DataFrame:
             yield rows("hash", len(keys[a : a + 16_384]), key=pa.array(keys[a : a + 16_384]), node=pa.array(owner[a : a + 16_384]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
+        sent: set[tuple[int, int]] = set()
         held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
@@ -246,16 +251,16 @@ def surveyed(slim: DataFrame, rule: Rule) -> DataFrame:
             nodes, sizes = [], []
             for t in batch.column("text").to_pylist():
                 own = shingles(t, rule.k)
-                nodes.append(node_of(own) if len(own) else 0)
+                nodes.append(node_of(own) if len(own) else (0, 0))
                 sizes.append(len(own))
                 if len(own) and nodes[-1] not in sent:
                     sent.add(nodes[-1])
-                    held.append((nodes[-1], len(own), in_class(own, rule)))
+                    held.append((nodes[-1][0], len(own), in_class(own, rule)))
                     size += len(held[-1][2])
                     if size >= CHUNK:
                         yield from flush(held)
                         held, size = [], 0
-            yield rows("doc", len(nodes), doc_id=batch.column("doc_id"), th=batch.column("th"), node=pa.array(nodes, pa.int64()), n=pa.array(sizes, pa.int64()))
+            yield rows("doc", len(nodes), doc_id=batch.column("doc_id"), th=batch.column("th"), node=pa.array([x for x, _ in nodes], pa.int64()), n=pa.array(sizes, pa.int64()), key=pa.array([x for _, x in nodes], pa.int64()))
         if held:
             yield from flush(held)
 
@@ -398,7 +403,7 @@ def candidate_forest(keys: DataFrame, rule: Rule, hot: int = HOT) -> DataFrame:
     else:
         n = F.ceil(F.coalesce(F.col("__c"), F.lit(1)) / hot).cast("int")
         mine = F.pmod(F.xxhash64("node"), n).cast("int")
-        dealt = keys.join(big, "key", "left").withColumn("__m", mine).withColumn("__o", F.explode(F.sequence(F.lit(0), n - 1)))
+        dealt = match(keys, big, "key", "left").withColumn("__m", mine).withColumn("__o", F.explode(F.sequence(F.lit(0), n - 1)))
         dealt = dealt.withColumns({"bi": F.least("__m", "__o"), "bj": F.greatest("__m", "__o")}).select(*keys.columns, "bi", "bj")
     by = ["key", "bi", "bj"]
     dealt = dealt.repartition(parts(spark), *by).sortWithinPartitions(*by)
@@ -450,13 +455,13 @@ def verified(texts: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     by = ["root", "bi", "bj"]
     sizes = texts.groupBy("root").agg(F.count(F.lit(1)).alias("__c"))
     big = materialise(sizes.where(F.col("__c") > block).select("root"))
-    plain = texts if big.isEmpty() else texts.join(few(big), "root", "left_anti")
+    plain = texts if big.isEmpty() else match(texts, big.withColumn("__big", F.lit(True)), "root", "left").where(F.col("__big").isNull()).drop("__big")
     tasks = plain.select("node", "root", "text", F.lit(-1).alias("cls"), F.lit(0).alias("bi"), F.lit(0).alias("bj"))
     near = None
     if not big.isEmpty():
-        crowd = texts.join(few(big), "root", "left_semi")
+        crowd = materialise(match(texts, big, "root"))
         pivot = materialise(crowd.where(F.col("node") == F.col("root")).select("root", F.col("text").alias("pivot")))
-        crowd = crowd.join(pivot, "root")
+        paired = spread_join(crowd, pivot, "root")  # pivots are texts, and never broadcast
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             recent = Recent(rule)
@@ -465,7 +470,7 @@ def verified(texts: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
                 cls = [rule.nearness(shingles(t, rule.k), recent.get(r, p)) for r, t, p in zip(root, text, other, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "root", "text")), pa.array(cls, pa.int32())], names=["node", "root", "text", "cls"])
 
-        crowd = materialise(crowd.mapInArrow(compare, "node long, root long, text string, cls int"))
+        crowd = materialise(paired.mapInArrow(compare, "node long, root long, text string, cls int"))
         near = crowd.where((F.col("cls") == 0) & (F.col("node") != F.col("root"))).select(F.col("node").alias("a"), F.col("root").alias("b"))
         count = lambda c: F.ceil(F.sum((F.col("cls") == c).cast("int")) / block).cast("int")
         n = materialise(crowd.groupBy("root").agg(*[count(c).alias(f"__n{c}") for c in range(3)]))
@@ -476,9 +481,9 @@ def verified(texts: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
         low = F.when(cls == 2, F.col("__n0")).otherwise(F.lit(0))
         high = F.when(cls == 0, F.col("__n0") + F.col("__n1")).otherwise(F.col("__n0") + F.col("__n1") + F.col("__n2")) - 1
         other = F.filter(F.sequence(low, high), lambda j: (cls != 0) | (j >= F.col("__n0")))
-        met = crowd.join(n, "root").where(F.col("__n1") + F.col("__n2") > 0).withColumns({"__m": at, "__o": F.explode(other)})
+        met = match(crowd, n, "root").where(F.col("__n1") + F.col("__n2") > 0).withColumns({"__m": at, "__o": F.explode(other)})
         tasks = tasks.union(met.select("node", "root", "text", "cls", F.least("__m", "__o").alias("bi"), F.greatest("__m", "__o").alias("bj")))
-    dealt = tasks.repartition(parts(spark), *by).sortWithinPartitions(*by)
+    dealt = tasks.repartitionByRange(parts(spark), *by).sortWithinPartitions(*by)  # by rows, so that blocks don't meet by chance
 
     def check(tab: pa.Table) -> list[tuple[int, int]]:
         out = []
@@ -516,16 +521,29 @@ def linked_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     path = scratch_dir(spark)
     surveyed(slim, rule).write.partitionBy("kind").parquet(path)
     whole = spark.read.schema("doc_id long, th long, node long, n long, c long, s long, key long, kind string").parquet(path)
-    rows = whole.where(F.col("kind") == "doc").select("doc_id", "th", "node", "n")
-    full = rows.where(F.col("n") > 0)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
+    rows = whole.where(F.col("kind") == "doc").select("doc_id", "th", "node", "n", "key")
+    named = materialise(rows.where(F.col("n") > 0).groupBy("node", "key").agg(first.alias("rep")))
+    clash = materialise(named.groupBy("node").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > 1).select("node", F.lit(True).alias("__clash")))
+    clashes = clash.count()  # pairs of sets in 2 ** 64: none, or a few
+
+    def told_apart(df: DataFrame) -> DataFrame:
+        """Nodes that several sets have are replaced by one for each."""
+        if not clashes:
+            return df
+        return match(df, clash, "node", "left", clashes).withColumn("node", F.when(F.col("__clash"), F.xxhash64("node", "key")).otherwise(F.col("node"))).drop("__clash")
+
+    full = told_apart(rows.where(F.col("n") > 0)).select("doc_id", "th", "node", "n")
     hashes = whole.where(F.col("kind") == "hash").select("key", "node")
-    left = materialise(open_nodes(whole.where(F.col("kind") == "sent").select("node", "n", "c", "s"), hashes, rule))
+    open_ = open_nodes(whole.where(F.col("kind") == "sent").select("node", "n", "c", "s"), hashes, rule)
+    left = materialise(open_.union(clash.select("node")).distinct() if clashes else open_)
     hashes.scratch_path = f"{path}/kind=hash"
+    wanted = named.join(left, "node")
+    nodes = materialise(told_apart(named).select("node", "rep")) if clashes else named.select("node", "rep")
+    wanted = materialise(told_apart(wanted).select("node", "rep.doc_id", "rep.th"))
     drop_table(hashes)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
-    nodes = materialise(full.groupBy("node").agg(first.alias("rep")))
     small_batches(spark)
-    texts = texts_of_nodes(slim, materialise(nodes.join(left, "node").select("node", "rep.doc_id", "rep.th")))
+    texts = texts_of_nodes(slim, wanted)
     small_batches(spark)
     keys = materialise(keyed(texts, rule, frequency_order(texts, rule)))
     forest = materialise(candidate_forest(keys, rule))
@@ -534,10 +552,11 @@ def linked_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     members = materialise(clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()))
     grouped = materialise(texts.join(few(members), "node").select("node", "root", "text"))
     root = materialise(connected_components(verified(grouped, rule)))
-    named = nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
-    best = named.groupBy("root").agg(F.min("rep").alias("rep"))
-    final = materialise(named.select("node", "root").join(best, "root").select("node", "rep"))
-    out = full.join(final, "node", "left").select("doc_id", "th", "n", F.col("rep.doc_id").alias("component_id"), "rep")
+    final = materialise(nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep"))
+    best = materialise(final.groupBy("root").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("__c")))
+    moved = materialise(best.where(F.col("__c") > 1).drop("__c"))  # the others stand for themselves
+    final = materialise(match(final.withColumnRenamed("rep", "own"), moved, "root", "left").select("node", F.coalesce("rep", "own").alias("rep")))
+    out = spread_join(full, final, "node", "left").select("doc_id", "th", "n", F.col("rep.doc_id").alias("component_id"), "rep")
     alone = rows.where(F.col("n") == 0).select("doc_id", "th", "n", F.col("doc_id").alias("component_id"), F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th").alias("rep"))
     return out.union(alone)
 
@@ -554,13 +573,12 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = linked_documents(docs, Rule(5, 80, 100)).where(F.col("n") > 0)
     same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("th") == F.col("rep.th"))
-    gone = materialise(found.where(~same).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
-    twice = materialise(found.where(same).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > 1).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")))
+    gone = materialise(found.where(~same).select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct())
+    twice = materialise(found.where(same).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select(F.col("doc_id").alias("d"), F.col("th").alias("t")))
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    match = (F.col("__th") == F.col("__t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))
-    kept = docs.withColumn("__th", th).join(few(gone), match, "left_anti")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(few(twice), match, "left_anti")
-    again = kept.join(few(twice), match, "left_semi").dropDuplicates(["doc_id", "__th"])
-    return once.union(again).select(*docs.columns)
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), th.alias("th"))  # no name of docs' own can clash
+    match_ = (F.col("th") == F.col("t")) & F.col("id").eqNullSafe(F.col("d"))
+    kept = rows.join(few(gone), match_, "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(few(twice), match_, "left_anti").union(kept.join(few(twice), match_, "left_semi").dropDuplicates(["id", "th"]))
+    return kept.select("doc.*")

@@ -17,7 +17,7 @@ from foliant.llm.tokens import BYTE_BPE, WORD_BPE, tokenizer
 
 SYLLABLES = {"en": ["the", "ing", "er", "wh", "th", "an", "ou"], "fr": ["eau", "ç", "é", "oi", "qu", "è", "ai"]}
 ITEM = "Which planet of the solar system has the largest number of known moons, and who first counted them?"
-EXTRA = "score double, lang_pred string, node long, n long, kind string, key long, th long, rank int, __k0 string, __text string, part long, length long, ids binary, shard int, component_id long"
+EXTRA = "__th long, __d long, __shard int, score double, lang_pred string, node long, n long, kind string, key long, th long, rank int, __k0 string, __text string, part long, length long, ids binary, shard int, component_id long"
 
 
 def sentence(rnd, lang, n):
@@ -328,6 +328,52 @@ def test_jaccard_join_of_one_large_cluster(spark, rule, monkeypatch):
     assert sorted(map(tuple, out.collect()), key=str) == components(rows, rule)
 
 
+def test_sets_of_one_node_are_told_apart(spark, sf, monkeypatch):
+    own = jaccard_join.node_of
+    monkeypatch.setattr(jaccard_join, "node_of", lambda s: (own(s)[0] % 5 + 1, own(s)[1]))  # as if hashes were short
+    got = jaccard_join.linked_documents(spark.read.parquet(f"{sf}/documents.parquet"), jaccard_join.Rule(3, 90, 100)).select("doc_id", "n", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == components([(i, t) for i, t, _ in CORPUS], jaccard_join.Rule(3, 90, 100))
+
+
+@pytest.fixture()
+def many_tasks(spark, monkeypatch):
+    """Broadcasts off, and so many partitions that a heavy key stands out."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def largest_share(df):
+    rows = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(rows) / sum(rows)
+
+
+def test_heavy_keys_are_dealt_to_many_tasks(spark, many_tasks, tmp_path):
+    spark.range(100_000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("node"), "id").write.parquet(f"{tmp_path}/big")
+    big = spark.read.parquet(f"{tmp_path}/big")
+    small = spark.range(0, 100_000, 3).select(F.col("id").alias("node"), (F.col("id") * 2).alias("v")).union(spark.createDataFrame([(7, 14)], "node long, v long"))
+    out = common.spread_join(big, small, "node")
+    assert out.count() == 100_000 and out.where("v != node * 2").count() == 0 and largest_share(out) < 0.05
+    left = common.spread_join(big, small.where("node != 7"), "node", "left")
+    assert left.count() == 100_000 and left.where("v is null").count() == big.where("node = 7").count()
+    star = spark.range(1, 60_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).union(spark.range(70_000, 70_020).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    got = common.connected_components(star)
+    assert got.count() == 59_999 + 20 and set(r[0] for r in got.select("root").distinct().collect()) == {0, 70_000}
+
+
+def test_many_copies_of_one_text_without_broadcasts(spark, many_tasks):
+    texts = spark.range(6_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "one text that very many documents have").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"), F.lit(" of its own kind"))).alias("text"))
+    out = jaccard_join.linked_documents(texts.repartition(8), jaccard_join.Rule(3, 90, 100))
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    assert got == {i: 1 if i % 3 else i for i in range(6_000)}
+
+
 def test_count_bound_is_a_bound():
     rng = np.random.default_rng(2)
     for n in (5, 300, 9000, 70_000):
