@@ -43,6 +43,8 @@ STRIDE = 32
 PIECE = 1 << 20
 PAIRS = 1 << 20
 HELD = 32 << 20
+#: Candidates that are aligned together.
+ALIGNED = 2048
 BITS = 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Added to diagonals, which may be below 0.
@@ -77,24 +79,36 @@ def grams(raw: bytes) -> np.ndarray:
     return out
 
 
-def align(pattern: np.ndarray, region: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int] | None:
-    """Least edits, and end in ``region``, of the whole pattern against any part of it, on diagonals low .. low + width - 1."""
-    m, n, big = len(pattern), len(region), len(pattern) + len(region) + 1
-    cells = np.arange(width)
-    row = np.where((cells + low >= 0) & (cells + low <= n), 0, big)  # cell c of row i is column i + low + c
+def align(view: np.ndarray, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates within ``budget``: number, least edits, and where in ``view`` they end.
+
+    A candidate is a pattern (a row; all of one length) against any part of view[start:end], on the 2 * STRIDE +
+    2 * budget diagonals from ``low`` on. All go forward together, a byte of the pattern at a time, and those beyond the
+    budget drop out.
+    """
+    width, m = 2 * STRIDE + 2 * budget, patterns.shape[1]
+    who, cells, n = np.arange(len(patterns)), np.arange(width, dtype=np.int32), (ends - starts).astype(np.int32)
+    low, begin, big = low.astype(np.int32), starts.astype(np.int64), np.int32(1 << 20)
+    column = low[:, None] + cells
+    row = np.where((column >= 0) & (column <= n[:, None]), np.int32(0), big)  # cell c of row i is column i + low + c
+    last = len(view) - 1
     for i in range(m):
-        column = i + 1 + low + cells
-        inside = (column >= 1) & (column <= n)
-        differs = np.ones(width, int)
-        differs[inside] = region[column[inside] - 1] != pattern[i]
-        best = np.where(inside, row + differs, big)
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)  # a pattern byte that the text lacks
-        best[(column < 0) | (column > n)] = big
-        row = np.minimum.accumulate(best - cells) + cells  # text bytes that the pattern lacks
-        if row.min() > budget:
-            return None
-    at = int(row.argmin())
-    return (int(row[at]), m + low + at) if row[at] <= budget else None
+        column = low[:, None] + (cells + np.int32(i + 1))
+        own = view[np.clip(begin[:, None] + column - 1, 0, last)]
+        best = np.where((column >= 1) & (column <= n[:, None]), row + (own != patterns[:, i][:, None]), big)
+        np.minimum(best[:, :-1], row[:, 1:] + 1, out=best[:, :-1])  # a pattern byte that the text lacks
+        best[(column < 0) | (column > n[:, None])] = big
+        row = np.minimum.accumulate(best - cells, axis=1) + cells  # text bytes that the pattern lacks
+        if i % 4 == 3 or i == m - 1:
+            fits = row.min(axis=1) <= budget
+            if not fits.all():
+                who, row, low, begin, n, patterns = who[fits], row[fits], low[fits], begin[fits], n[fits], patterns[fits]
+                if not len(who):
+                    break
+    if not len(who):
+        return who, who, who
+    at = row.argmin(axis=1)
+    return who, row[np.arange(len(who)), at], begin + m + low + at
 
 
 class Patterns:
@@ -218,12 +232,17 @@ class Patterns:
                     t = int(np.searchsorted(starts, x, "right")) - 1
                     for p in own[c]:
                         yield todo[t][0], p, 0, x - int(starts[t]) + todo[t][1], x - int(starts[t]) + todo[t][1] + n
+        open_: dict[int, list[tuple[int, int, int, int, int]]] = {}  # by length: pattern, piece, start, end, first diagonal
         for keys in self.bands(data):
             for key in keys.tolist():
-                yield from self._confirm(key >> 40, (key & LOW) * STRIDE - SHIFT, data, view, border, todo, starts, sizes)
-
-    def _confirm(self, p: int, low: int, data: bytes, view: np.ndarray, border: np.ndarray, todo, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """Regions of pattern p on the diagonals from ``low`` on, by exact search or alignment."""
+                yield from self._find(key >> 40, (key & LOW) * STRIDE - SHIFT, data, border, todo, starts, sizes, open_)
+            for n in [n for n, own in open_.items() if len(own) >= ALIGNED]:
+                yield from self._aligned(open_.pop(n), view, todo, starts)
+        for own in open_.values():
+            yield from self._aligned(own, view, todo, starts)
+
+    def _find(self, p: int, low: int, data: bytes, border: np.ndarray, todo, starts: np.ndarray, sizes: np.ndarray, open_: dict[int, list]) -> Iterator[tuple[int, int, int, int, int]]:
+        """Exact regions of pattern p on the diagonals from ``low`` on; where there is none, ``open_`` gets a candidate."""
         own, k = self.raw[p], int(self.budget[p])
         m, short = len(own), len(own) < SHORT
         a, b = low - k, low + 2 * STRIDE + m + k
@@ -242,9 +261,19 @@ class Patterns:
                 else:
                     at = data.find(own, at + 1, y)
             if not hit and k:
-                got = align(np.frombuffer(own, np.uint8), view[x:y], low - k - x, 2 * STRIDE + 2 * k, k)
-                if got is not None:
-                    yield i, p, got[0], max(0, x + got[1] - m + back), x + got[1] + back
+                open_.setdefault(m, []).append((p, t, x, y, a - x))
+
+    def _aligned(self, found: list[tuple[int, int, int, int, int]], view: np.ndarray, todo, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Regions among candidates whose patterns have one length."""
+        m = len(self.raw[found[0][0]])
+        for a in range(0, len(found), ALIGNED):
+            part = found[a : a + ALIGNED]
+            own = np.frombuffer(b"".join(self.raw[c[0]] for c in part), np.uint8).reshape(-1, m)
+            x, y, low = (np.array([c[j] for c in part]) for j in (2, 3, 4))
+            for j, edits, end in zip(*(z.tolist() for z in align(view, own, x, y, low, int(self.budget[part[0][0]]))), strict=True):
+                p, t = part[j][:2]
+                end += todo[t][1] - int(starts[t])
+                yield todo[t][0], p, edits, max(0, end - m), end
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Patterns]:
