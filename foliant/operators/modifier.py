@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions.paths import parse
+from foliant.functions.paths import get, parse
 from foliant.functions.values import comparable, equals, literal
 from foliant.operators.selector import compile_on, field_pred, is_expression
 from foliant.functions.paths import Leaf
@@ -92,24 +93,46 @@ def _add_to_set(c: Column, kind: T.ArrayType, v: Any) -> Column:
     out = F.coalesce(c, F.array().cast(kind))
     for x in v["$each"] if isinstance(v, dict) and "$each" in v else [v]:
         item = literal(x, kind.elementType)
-        out = F.when(F.array_contains(out, item), out).otherwise(F.array_append(out, item))
+        there = F.exists(out, lambda e: e.isNull()) if x is None else F.coalesce(F.array_contains(out, item), F.lit(False))
+        out = F.when(there, out).otherwise(F.array_append(out, item))
     return out
 
 
+def widened(kind: T.DataType, v: Any, product: bool = False) -> T.DataType:
+    """The type that holds a column's numbers and a number computed with ``v``; no digit of ``v`` is lost."""
+    if isinstance(v, bool) or not isinstance(kind, T.NumericType) or isinstance(kind, T.DoubleType):
+        return kind
+    if isinstance(kind, T.IntegralType):
+        if isinstance(v, int):
+            return kind if product or abs(v) < 1 << {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}[type(kind)] else T.LongType()
+        return kind if float(v).is_integer() and not product else T.DoubleType()
+    if isinstance(v, int):
+        return kind
+    if isinstance(kind, T.FloatType):
+        return T.DoubleType()
+    digits = -Decimal(str(v)).as_tuple().exponent
+    return T.DoubleType() if product or digits > kind.scale else kind
+
+
 def _change(op: str, v: Any, now: dt.datetime) -> Callable[[Column, T.DataType], Column]:
     def run(c: Column, kind: T.DataType) -> Column:
         if op in ("$set", "$setOnInsert"):
             if v is not None and not comparable(v, kind):
                 raise TypeError(f"{v!r} does not fit {kind.simpleString()}")
-            return literal(v, kind).cast(kind)
+            return literal(v, kind).cast(widened(kind, v))
         if op == "$unset":
             return F.lit(None).cast(kind)
         if op == "$inc":
-            return (F.coalesce(c, F.lit(0)) + F.lit(_numeric(v))).cast(kind)
+            wide = widened(kind, _numeric(v))
+            return (F.coalesce(c, F.lit(0)).cast(wide) + F.lit(v).cast(wide)).cast(wide)
         if op == "$mul":
-            return (F.coalesce(c, F.lit(0)) * F.lit(_numeric(v))).cast(kind)
+            wide = widened(kind, _numeric(v), product=isinstance(v, float) and not v.is_integer())
+            return (F.coalesce(c, F.lit(0)).cast(wide) * F.lit(v).cast(wide)).cast(wide)
         if op in ("$min", "$max"):
-            return (F.least if op == "$min" else F.greatest)(c, literal(v, kind).cast(kind))
+            wide = widened(kind, v)
+            if v is not None and not comparable(v, kind):
+                raise TypeError(f"{v!r} does not fit {kind.simpleString()}")
+            return (F.least if op == "$min" else F.greatest)(c.cast(wide), literal(v, wide).cast(wide))
         if op == "$currentDate":
             return F.lit(now).cast(kind)
         if not isinstance(kind, T.ArrayType):
@@ -174,8 +197,8 @@ def columns(modifier: dict[str, Any], schema: T.StructType, now: dt.datetime | N
             continue
         for path, v in spec.items():
             if op == "$rename":
-                value = F.col(f"`{path}`") if path in schema.names else None
-                if value is None or v not in schema.names:
+                value = get(schema, path)  # of the row as it was
+                if value is None or kind_of(schema, v) is None:
                     raise ValueError(f"no field {path} or {v}")
                 apply(v, lambda c, k, value=value: value.cast(k))
                 apply(path, lambda c, k: F.lit(None).cast(k))

@@ -116,15 +116,24 @@ def in_pred(leaf: Leaf | None, values: list[Any]) -> Pred:
 def order_pred(leaf: Leaf | None, op: str, value: Any) -> Pred:
     if leaf is None or value is None:
         return constant(value is None and op in ("$gte", "$lte")) if leaf is None else absent(leaf) if op in ("$gte", "$lte") else constant(False)
+    if isinstance(value, float) and value != value:  # nothing is ordered against NaN
+        return constant(False)
     ops = {"$gt": ("__gt__", "__le__"), "$gte": ("__ge__", "__lt__"), "$lt": ("__lt__", "__ge__"), "$lte": ("__le__", "__gt__")}[op]
     if leaf.fans_out or isinstance(leaf.kind, T.ArrayType):
-        return value_pred(leaf, lambda c, k: getattr(c, ops[0])(literal(value, k)) if comparable(value, k) else F.lit(False))
+        return value_pred(leaf, lambda c, k: ordered(getattr(c, ops[0])(literal(value, k)), c, k, op) if comparable(value, k) else F.lit(False))
     if not comparable(value, leaf.kind):
         return constant(False)
     c, v = leaf.column, literal(value, leaf.kind)
+    if isinstance(leaf.kind, T.FractionalType) and op in ("$gt", "$gte") and not isinstance(leaf.kind, T.DecimalType):
+        return Pred(lambda: getattr(c, ops[0])(v) & ~F.isnan(c), lambda: getattr(c, ops[1])(v) | c.isNull() | F.isnan(c))
     return Pred(lambda: getattr(c, ops[0])(v), lambda: getattr(c, ops[1])(v) | c.isNull())
 
 
+def ordered(test: Column, c: Column, kind: T.DataType, op: str) -> Column:
+    """A comparison that NaN, which Spark holds for the greatest number, never passes."""
+    return test & ~F.isnan(c) if op in ("$gt", "$gte") and isinstance(kind, (T.FloatType, T.DoubleType)) else test
+
+
 def mask_of(value: Any) -> int:
     return sum(1 << b for b in set(value)) if isinstance(value, (list, tuple)) else int(value)
 
@@ -229,7 +238,10 @@ def expr_column(schema: T.StructType, e: Any) -> Column:
     if not isinstance(e, dict):
         return F.lit(e)
     ((op, args),) = e.items()
-    a = [expr_column(schema, x) for x in (args if isinstance(args, list) else [args])]
+    if op == "$literal":
+        return F.lit(args)
+    own = [] if isinstance(args, dict) and op == "$cond" else args if isinstance(args, list) else [args]
+    a = [F.lit(None) if isinstance(x, list) else expr_column(schema, x) for x in own]
     two = {
         "$eq": lambda x, y: x.eqNullSafe(y), "$ne": lambda x, y: ~x.eqNullSafe(y), "$gt": lambda x, y: x > y, "$gte": lambda x, y: x >= y, "$lt": lambda x, y: x < y, "$lte": lambda x, y: x <= y,
         "$subtract": lambda x, y: x - y, "$divide": lambda x, y: F.try_divide(x, y), "$mod": lambda x, y: F.when(y != 0, x % F.nullif(y, F.lit(0))),
@@ -241,6 +253,20 @@ def expr_column(schema: T.StructType, e: Any) -> Column:
         return reduce(many[op], a)
     if op == "$not":
         return ~F.coalesce(a[0], F.lit(False))
+    if op == "$in":  # a list of literals, or an array column
+        if isinstance(args[1], list):
+            return reduce(lambda x, y: x | y, [a[0].eqNullSafe(expr_column(schema, x)) for x in args[1]], F.lit(False))
+        return F.coalesce(F.array_contains(a[1], a[0]), F.lit(False))
+    if op == "$cond":
+        test, then, other = [expr_column(schema, args[k]) for k in ("if", "then", "else")] if isinstance(args, dict) else a
+        return F.when(F.coalesce(test, F.lit(False)), then).otherwise(other)
+    one = {"$size": F.size, "$abs": F.abs, "$floor": F.floor, "$ceil": F.ceil, "$toLower": F.lower, "$toUpper": F.upper, "$strLenCP": F.length}
+    if op in one:
+        return one[op](a[0])
+    if op == "$concat":  # null if any part is
+        return F.concat(*a)
+    if op == "$ifNull":
+        return F.coalesce(*a)
     raise ValueError(f"unknown expression {op}")
 
 
@@ -261,27 +287,73 @@ def where_pred(test: Any, value: Column | None, kind: T.DataType | None = None)
     return opaque(run(value if value is not None else F.lit(None)))
 
 
+KINDS = {"object": T.StructType, "array": T.ArrayType, "string": T.StringType, "boolean": T.BooleanType, "number": T.NumericType, "integer": T.IntegralType}
+#: Keywords that say nothing about what is valid.
+COMMENTS = frozenset("title description default examples $schema $id $comment bsonType".split())
+RULES = frozenset(
+    "type enum const required properties additionalProperties items minItems maxItems uniqueItems contains minLength maxLength pattern minimum maximum "
+    "exclusiveMinimum exclusiveMaximum multipleOf allOf anyOf oneOf not".split()
+)
+
+
 def schema_pred(kind: T.DataType | None, value: Column | None, spec: dict[str, Any]) -> Pred:
-    """type, required, properties, enum, minimum and maximum of a JSON schema."""
-    names = {"object": T.StructType, "array": T.ArrayType, "string": T.StringType, "boolean": T.BooleanType, "number": T.NumericType, "integer": T.IntegralType}
-    parts: list[Pred] = []
+    """A JSON schema; keywords outside ``RULES`` are an error. A rule for another type than the value's says nothing."""
+    if unknown := sorted(set(spec) - RULES - COMMENTS):
+        raise ValueError(f"unsupported schema keywords: {', '.join(unknown)}")
     if kind is None or value is None:
         return constant(True)
+    parts: list[Pred] = []
+    test = lambda column: parts.append(opaque(column))
     if "type" in spec:
         wanted = spec["type"] if isinstance(spec["type"], list) else [spec["type"]]
-        parts.append(constant(any(w != "null" and isinstance(kind, names[w]) for w in wanted)) if "null" in wanted else every([constant(any(isinstance(kind, names[w]) for w in wanted)), Pred(lambda: value.isNotNull(), lambda: value.isNull())]))
+        fits = any(w != "null" and isinstance(kind, KINDS[w]) for w in wanted)
+        parts.append(constant(fits) if "null" in wanted else every([constant(fits), Pred(lambda: value.isNotNull(), lambda: value.isNull())]))
+    if "enum" in spec:
+        parts.append(some([opaque(equals(value, x, kind)) for x in spec["enum"]]))
+    if "const" in spec:
+        test(equals(value, spec["const"], kind))
+    for key, join in (("allOf", every), ("anyOf", some)):
+        if key in spec:
+            parts.append(join([schema_pred(kind, value, x) for x in spec[key]]))
+    if "oneOf" in spec:
+        hits = [F.coalesce(schema_pred(kind, value, x).pos(), F.lit(False)).cast("int") for x in spec["oneOf"]]
+        test(reduce(lambda x, y: x + y, hits) == 1)
+    if "not" in spec:
+        parts.append(schema_pred(kind, value, spec["not"]).negated())
     if isinstance(kind, T.StructType):
         for name in spec.get("required", []):
-            parts.append(opaque(value.getField(name).isNotNull()) if name in kind.names else constant(False))
+            test(value.getField(name).isNotNull()) if name in kind.names else parts.append(constant(False))
         for name, inner in spec.get("properties", {}).items():
             if name in kind.names:
                 own = value.getField(name)
                 parts.append(some([opaque(own.isNull()), schema_pred(kind[name].dataType, own, inner)]))
-    if "enum" in spec:
-        parts.append(some([opaque(equals(value, x, kind)) for x in spec["enum"]]))
-    for key, op in (("minimum", "__ge__"), ("maximum", "__le__")):
-        if key in spec and isinstance(kind, T.NumericType):
-            parts.append(opaque(getattr(value, op)(F.lit(spec[key]))))
+        if (more := spec.get("additionalProperties", True)) is not True:
+            for name in set(kind.names) - set(spec.get("properties", {})):
+                own = value.getField(name)
+                parts.append(opaque(own.isNull()) if more is False else some([opaque(own.isNull()), schema_pred(kind[name].dataType, own, more)]))
+    if isinstance(kind, T.ArrayType):
+        size, element = F.size(value), kind.elementType
+        for key, way in (("minItems", "__ge__"), ("maxItems", "__le__")):
+            if key in spec:
+                test(getattr(size, way)(spec[key]))
+        if spec.get("uniqueItems"):
+            test(F.size(F.array_distinct(value)) == size)
+        if "items" in spec:
+            test(F.forall(value, lambda e: F.coalesce(schema_pred(element, e, spec["items"]).pos(), F.lit(False))))
+        if "contains" in spec:
+            test(F.exists(value, lambda e: F.coalesce(schema_pred(element, e, spec["contains"]).pos(), F.lit(False))))
+    if isinstance(kind, T.StringType):
+        for key, way in (("minLength", "__ge__"), ("maxLength", "__le__")):
+            if key in spec:
+                test(getattr(F.length(value), way)(spec[key]))
+        if "pattern" in spec:
+            test(matches(value, spec["pattern"]))
+    if isinstance(kind, T.NumericType):
+        for key, way in (("minimum", "__ge__"), ("maximum", "__le__"), ("exclusiveMinimum", "__gt__"), ("exclusiveMaximum", "__lt__")):
+            if key in spec:
+                test(getattr(value, way)(F.lit(spec[key])))
+        if "multipleOf" in spec:
+            test(value % F.lit(spec["multipleOf"]) == 0)
     return every(parts)
 
 

@@ -23,16 +23,18 @@ from foliant.functions.values import comparable, literal
 from foliant.operators import modifier as modifiers
 from foliant.operators.projection import project
 from foliant.operators.selector import compile_selector
-from foliant.streaming.observe import Observer
+from foliant.streaming.observe import CountObserver, Effect, Observer
 
 SEQ = "_seq"
 CUT = 10
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below the shared spark.checkpoint.dir; where that is unset, a temporary one of a local session."""
     top = spark.conf.get("spark.checkpoint.dir", None) or getattr(scratch, "own", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = scratch.own = tempfile.mkdtemp(prefix="foliant-")
     return f"{top}/versions/{uuid.uuid4().hex}"
 
@@ -120,22 +122,81 @@ class Cursor:
         return (df.limit(self.limit) if self.limit else df).count()
 
     def is_empty(self) -> bool:
-        return self._filtered().isEmpty()
+        df = self._filtered()
+        return (df.offset(self.skip) if self.skip else df).isEmpty()
+
+    def transformed(self, schema: T.StructType | str, batch_rows: int = 2_000) -> DataFrame:
+        """The result with ``transform`` applied to each row (as a dict) on the executors; it returns a dict of ``schema``."""
+        import pandas as pd
+
+        df, change = self.to_df(), self.transform or (lambda row: row)
+        names = T.StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for a in range(0, len(part), batch_rows):
+                    rows = part.iloc[a : a + batch_rows].astype(object)
+                    out = [change(r) for r in rows.where(rows.notna(), None).to_dict("records")]
+                    yield pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names)
+
+        return df.mapInPandas(run, schema)
 
     def observe(self, callbacks: dict[str, Callable[..., Any]], skip_initial: bool = False, fields: list[str] | None = None) -> Observer:
         """Events between this cursor's results; see ``Observer``."""
+        order = [*order_columns(self._shown().schema, self.sort), F.col(self.key)]
+        return Observer(self._shown, callbacks, order, self.key, skip_initial, fields, small=bool(self.limit))
 
-        def run() -> DataFrame:
-            return project(self._window().drop(SEQ), self.fields, self.key)
+    def _shown(self) -> DataFrame:
+        return project(self._window().drop(SEQ), self.fields, self.key)
 
-        shown = run()
-        order = [*order_columns(shown.schema, self.sort), F.col(self.key)]
-        return Observer(run, callbacks, order, self.key, skip_initial, fields)
+    def observe_count(self, callback: Callable[[int], Any], skip_initial: bool = False) -> CountObserver:
+        """Calls back with the number of results, at once and whenever it is another."""
+        return CountObserver(self.count, callback, skip_initial)
+
+    def effect(self, f: Callable[[list[Any]], Any]) -> Effect:
+        """Runs ``f`` on the items, and again whenever the items, their order or a field that it has read are others."""
+        order = order_columns(self._shown().schema, self.sort)
+        return Effect(self._shown, f, order, self.key)
 
 
 class Collection:
     registry: dict[str, "Collection"] = {}
     creation_hooks: list[Callable[["Collection"], None]] = []
+    dispose_hooks: list[Callable[["Collection"], None]] = []
+    debug_default = False
+    tracking_default = False
+
+    @staticmethod
+    def get_collections() -> list["Collection"]:
+        return list(Collection.registry.values())
+
+    @staticmethod
+    def on_creation(f: Callable[["Collection"], None]) -> None:
+        Collection.creation_hooks.append(f)
+
+    @staticmethod
+    def on_dispose(f: Callable[["Collection"], None]) -> None:
+        Collection.dispose_hooks.append(f)
+
+    @staticmethod
+    def enable_debug_mode() -> None:
+        """All collections, those to come included, emit ``_debug`` events with the plan of each find."""
+        Collection.debug_default = True
+        for c in Collection.registry.values():
+            c.debug = True
+
+    @staticmethod
+    def set_field_tracking_default(enable: bool) -> None:
+        Collection.tracking_default = enable
+        for c in Collection.registry.values():
+            c.tracking = enable
+
+    def set_debug_mode(self, enable: bool) -> None:
+        self.debug = enable
+
+    def set_field_tracking(self, enable: bool) -> None:
+        """Effects follow only the fields that they have read; without it, all fields."""
+        self.tracking = enable
 
     def __init__(self, df: DataFrame, name: str = "", key: str = "id", order: list[str] | None = None, key_generator: Callable[[], Any] | None = None, transform=None, transform_all=None, rules: dict[str, Column] | None = None, indexes: list[IndexProvider] | None = None) -> None:
         """rules: name -> boolean Column that every written row must satisfy. order: columns of the insertion order."""
@@ -145,6 +206,7 @@ class Collection:
         self.handlers: dict[str, list[Callable[..., Any]]] = defaultdict(list)
         self.observers: list[Observer] = []
         self.disposed, self.batching, self.version, self.pending = False, False, 0, []
+        self.debug, self.tracking = Collection.debug_default, Collection.tracking_default
         self.order = order or [key]
         self.df = self._ordered(df)
         self.indexes = indexes or []
@@ -170,7 +232,10 @@ class Collection:
         options.setdefault("transform", self.transform)
         options.setdefault("transform_all", self.transform_all)
         self.emit("find", selector, options)
-        return Cursor(lambda: self._source(selector), selector, key=self.key, **options)
+        out = Cursor(lambda: self._source(selector), selector, key=self.key, **options)
+        if self.debug:
+            self.emit("_debug.find", selector, options, out.to_df()._jdf.queryExecution().simpleString())
+        return out
 
     def find_one(self, selector: dict | None = None, **options: Any) -> Any:
         self.emit("findOne", selector, options)
@@ -188,31 +253,68 @@ class Collection:
     # -- events
 
     def on(self, event: str, f: Callable[..., Any]) -> None:
+        self._open()
         self.handlers[event].append(f)
 
+    def once(self, event: str, f: Callable[..., Any]) -> None:
+        """``f`` is called at the next such event only."""
+
+        def first(*args: Any) -> None:
+            if first in self.handlers[event]:
+                self.handlers[event].remove(first)
+                f(*args)
+
+        self.on(event, first)
+
     def off(self, event: str, f: Callable[..., Any]) -> None:
-        self.handlers[event].remove(f)
+        self._open()
+        if f in self.handlers[event]:
+            self.handlers[event].remove(f)
 
     def emit(self, event: str, *args: Any) -> None:
+        self._open()
         for f in list(self.handlers[event]):
             f(*args)
 
+    def _live(self, observer: Any) -> Any:
+        self.observers.append(observer)
+        return observer
+
     def observe(self, selector: dict | None, callbacks: dict[str, Callable[..., Any]], skip_initial: bool = False, **options: Any) -> Observer:
-        out = self.find(selector, **options).observe(callbacks, skip_initial)
-        self.observers.append(out)
-        return out
+        return self._live(self.find(selector, **options).observe(callbacks, skip_initial))
+
+    def observe_count(self, selector: dict | None, callback: Callable[[int], Any], skip_initial: bool = False, **options: Any) -> CountObserver:
+        return self._live(self.find(selector, **options).observe_count(callback, skip_initial))
+
+    def effect(self, selector: dict | None, f: Callable[[list[Any]], Any], **options: Any) -> Effect:
+        out = self.find(selector, **options).effect(f)
+        out.tracking = self.tracking
+        return self._live(out)
 
     # -- writing
 
-    def _commit(self, df: DataFrame, event: str, *args: Any) -> None:
+    def _commit(self, df: DataFrame, event: str, *args: Any, written: Callable[[], DataFrame] | None = None) -> None:
+        """written: the write as changelog rows (type, present, key, fields), made only if someone listens to ``written``."""
         self.version += 1
+        rows = written() if written and self.handlers["written"] else None
         self.df = cut_lineage(df) if self.version % CUT == 0 else df
         if not self.batching:
             self._rebuild()
         self.emit(event, *args)
+        if rows is not None:
+            self.emit("written", rows)
         if not self.batching:
-            for o in self.observers:
-                o.requery()
+            self._requery()
+
+    def _requery(self) -> None:
+        self.observers = [o for o in self.observers if o.active]
+        for o in self.observers:
+            o.requery()
+
+    def _log(self, rows: DataFrame, kind: str, fields: list[str]) -> DataFrame:
+        """Rows as a changelog of one kind; ``fields`` are those that it sets."""
+        present = F.array(*map(F.lit, fields)) if fields else F.array().cast("array<string>")
+        return rows.drop(SEQ).withColumns({"type": F.lit(kind), "present": present})
 
     @contextmanager
     def batch(self) -> Iterator["Collection"]:
@@ -227,8 +329,7 @@ class Collection:
         finally:
             self.batching = False
             self._rebuild()
-        for o in self.observers:
-            o.requery()
+        self._requery()
 
     def _match(self, selector: dict | None) -> Column:
         own = T.StructType([f for f in self.df.schema.fields if f.name != SEQ])
@@ -283,7 +384,8 @@ class Collection:
             raise ValueError("an item with this id exists")
         rows = self._rows(items)
         self._check(rows)
-        self._commit(self.df.unionByName(self._seq_for(rows), allowMissingColumns=True), "added", items)
+        fields = [c for c in rows.columns if c != self.key]
+        self._commit(self.df.unionByName(self._seq_for(rows), allowMissingColumns=True), "added", items, written=lambda: self._log(rows, "insert", fields))
         return keys
 
     def _update(self, selector: dict | None, change: dict[str, Any], many: bool, upsert: bool) -> int:
@@ -291,7 +393,7 @@ class Collection:
         if not isinstance(change, dict):
             raise TypeError("a modifier is a dict")
         if not any(k.startswith("$") for k in change):
-            return self.replace_one(selector, change, upsert=upsert)
+            return self._replace(selector, change, many, upsert, "updateMany" if many else "updateOne")
         modifiers.check(change)
         hit = self._match(selector)
         n = self.df.where(hit).count()
@@ -309,10 +411,17 @@ class Collection:
             raise ValueError("an item with this id exists")
         if self.rules or self.handlers["validate"]:
             self._check(wide.where(hit).withColumns(new).drop(SEQ))
-        self._commit(df, "changed", selector, change, n)
+        self._commit(df, "changed", selector, change, n, written=lambda: self._rewritten(wide.where(hit), new))
         self.emit("updateMany" if many else "updateOne", selector, change, n)
         return n
 
+    def _rewritten(self, old: DataFrame, new: dict[str, Column]) -> DataFrame:
+        """Changelog rows of rows whose columns ``new`` were written; a new key is a removal and an insertion."""
+        after = old.withColumns(new)
+        if self.key not in new:
+            return self._log(after, "update", list(new))
+        return self._log(old, "remove", []).unionByName(self._log(after, "insert", [c for c in after.columns if c not in (self.key, SEQ)]), allowMissingColumns=True)
+
     def _new_kinds(self, change: dict[str, Any]) -> dict[str, T.DataType]:
         out: dict[str, T.DataType] = {}
         for op, spec in change.items():
@@ -343,7 +452,8 @@ class Collection:
         wide = rows.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items() if n not in rows.columns})
         rows = wide.withColumns(modifiers.columns({**rest, **({"$set": d} if (d := {k: v for k, v in first.items() if "." in k}) else {})}, wide.schema)) if rest or any("." in k for k in first) else wide
         self._check(rows)
-        self._commit(self.df.unionByName(self._seq_for(rows), allowMissingColumns=True), "added", [item])
+        fields = [c for c in rows.columns if c != self.key]
+        self._commit(self.df.unionByName(self._seq_for(rows), allowMissingColumns=True), "added", [item], written=lambda: self._log(rows, "insert", fields))
         return 1
 
     def update_one(self, selector: dict | None, change: dict[str, Any], upsert: bool = False) -> int:
@@ -353,21 +463,29 @@ class Collection:
         return self._update(selector, change, True, upsert)
 
     def replace_one(self, selector: dict | None, item: dict[str, Any], upsert: bool = False) -> int:
+        return self._replace(selector, item, False, upsert, "replaceOne")
+
+    def _replace(self, selector: dict | None, item: dict[str, Any], many: bool, upsert: bool, event: str) -> int:
+        """Matches become ``item`` as a whole; each keeps its key unless the item has one."""
         self._open()
-        hit = self._first(self._match(selector))
-        if hit is None:
+        hit = self._match(selector)
+        n = self.df.where(hit).count()
+        if not n:
             if upsert:
                 self.insert(item)
             return int(upsert)
+        if not many:
+            hit, n = self._first(hit), 1
         rows = self._rows([item])
-        if self.key in item and not self.df.where((F.col(self.key) == F.lit(item[self.key])) & ~hit).isEmpty():
+        if self.key in item and (n > 1 or not self.df.where((F.col(self.key) == F.lit(item[self.key])) & ~hit).isEmpty()):
             raise ValueError("an item with this id exists")
         self._check(rows)
         wide = self._widened({f.name: f.dataType for f in rows.schema.fields})
-        new = {c: F.when(hit, literal(item.get(c), wide.schema[c].dataType).cast(wide.schema[c].dataType)).otherwise(F.col(f"`{c}`")) for c in wide.columns if c != SEQ and not (c == self.key and c not in item)}
-        self._commit(wide.withColumns(new), "changed", selector, item, 1)
-        self.emit("replaceOne", selector, item, 1)
-        return 1
+        new = {c: literal(item.get(c), wide.schema[c].dataType).cast(wide.schema[c].dataType) for c in wide.columns if c != SEQ and not (c == self.key and c not in item)}
+        df = wide.withColumns({c: F.when(hit, v).otherwise(F.col(f"`{c}`")) for c, v in new.items()})
+        self._commit(df, "changed", selector, item, n, written=lambda: self._rewritten(wide.where(hit), new))
+        self.emit(event, selector, item, n)
+        return n
 
     def remove_one(self, selector: dict) -> int:
         return self._remove(selector, False)
@@ -385,7 +503,8 @@ class Collection:
             return 0
         if not many:
             hit, n = self._first(hit), 1
-        self._commit(self.df.where(~hit), "removed", selector, n)
+        before = self.df
+        self._commit(before.where(~hit), "removed", selector, n, written=lambda: self._log(before.where(hit), "remove", []))
         self.emit("removeMany" if many else "removeOne", selector, n)
         return n
 
@@ -406,11 +525,16 @@ class Collection:
         self._commit(self._ordered(df), "reset", df)
 
     def dispose(self) -> None:
-        self.disposed = True
+        """Observers end, handlers hear ``dispose``; every later call is an error."""
+        self._open()
         for o in self.observers:
             o.cleanup()
         self.emit("dispose")
+        self.disposed = True
+        self.handlers.clear()
         Collection.registry.pop(self.name, None)
+        for hook in Collection.dispose_hooks:
+            hook(self)
 
 
 def _plain(v: Any, kind: T.DataType) -> Any:

@@ -13,17 +13,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positioned(df: DataFrame, order: list[Column], key: str = "id") -> DataFrame:
-    """Add __pos and __next (following key). The order of a whole result is global by nature: limit it first."""
-    w = Window.orderBy(*order)
-    return df.withColumns({"__pos": F.row_number().over(w), "__next": F.lead(key).over(w)})
+def positioned(df: DataFrame, order: list[Column], key: str = "id", small: bool = False) -> DataFrame:
+    """Add __pos (from 1) and __next (following key) in the order of the whole result.
 
+    A ``small`` result, one with a limit, is one window. Any other is dealt by ranges of its sort keys and sorted there;
+    a row's place in its part is its place in the task's output. It is written once, so that the parts are the same for
+    all that follows: the parts' sizes (a row for each) move the places up, and the first key of each part is what
+    follows the last one of the part before.
+    """
+    if small:
+        w = Window.orderBy(*order)
+        return df.withColumns({"__pos": F.row_number().over(w), "__next": F.lead(key).over(w)})
+    from foliant.plans.collection import cut_lineage
 
-def events(old: DataFrame, new: DataFrame, order: list[Column] | None = None, key: str = "id") -> DataFrame:
-    """event ('added', 'changed', 'changedField', 'movedBefore', 'removed'), key, field, old, new (text), before."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = cut_lineage(sorted_.withColumn("__id", F.monotonically_increasing_id()))
+    part, nth = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    laid = laid.withColumns({"__part": part, "__nth": nth})
+    parts = sorted((r["__part"], r["n"], r["first"]) for r in laid.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min_by(key, "__nth").alias("first")).collect())  # a row for each part
+    rows, base = [], 0
+    for i, (p, n, _) in enumerate(parts):
+        rows.append((p, base, n - 1, parts[i + 1][2] if i + 1 < len(parts) else None))
+        base += n
+    kind = df.schema[key].dataType.simpleString()
+    above = F.broadcast(df.sparkSession.createDataFrame(rows, f"__part bigint, __base bigint, __last bigint, __after {kind}"))
+    follows = Window.partitionBy("__part").orderBy("__nth")
+    out = laid.withColumn("__lead", F.lead(key).over(follows)).join(above, "__part")
+    return out.select(*df.columns, (F.col("__base") + F.col("__nth") + 1).alias("__pos"), F.when(F.col("__nth") == F.col("__last"), F.col("__after")).otherwise(F.col("__lead")).alias("__next"))
+
+
+def events(old: DataFrame, new: DataFrame, order: list[Column] | None = None, key: str = "id", positions: bool = True, small: bool = False) -> DataFrame:
+    """event ('added', 'changed', 'changedField', 'movedBefore', 'removed'), key, field, old, new (text), before.
+
+    Without ``positions`` nothing is sorted: no row is found moved, and ``before`` is null. small: see :func:`positioned`.
+    """
     order = order or [F.col(key)]
     names = [c for c in new.columns if c != key]
-    pack = lambda df, s: positioned(df, order, key).select(F.col(key).alias(f"__k{s}"), F.struct(*[F.col(f"`{c}`") for c in names]).alias(f"__{s}"), F.col("__pos").alias(f"__p{s}"), F.col("__next").alias(f"__n{s}"))
+    none_ = lambda df: df.withColumns({"__pos": F.lit(0), "__next": F.lit(None).cast(df.schema[key].dataType)})
+    pack = lambda df, s: (positioned(df, order, key, small) if positions else none_(df)).select(F.col(key).alias(f"__k{s}"), F.struct(*[F.col(f"`{c}`") for c in names]).alias(f"__{s}"), F.col("__pos").alias(f"__p{s}"), F.col("__next").alias(f"__n{s}"))
     both = pack(old, "o").join(pack(new, "n"), F.col("__ko") == F.col("__kn"), "full_outer")
     none = F.lit(None).cast("string")
     text = lambda c: F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
@@ -37,11 +64,15 @@ def events(old: DataFrame, new: DataFrame, order: list[Column] | None = None, ke
     return both.select(F.coalesce("__ko", "__kn").alias(key), F.explode(found).alias("e")).select(key, "e.*")
 
 
+#: Callbacks that need to know what a row stands before.
+PLACED = frozenset({"movedBefore", "addedBefore"})
+
+
 class Observer:
-    """Calls back with the events of each new result of a query."""
+    """Calls back with the events of each new result of a query; positions are found only for callbacks that need them."""
 
-    def __init__(self, run: Callable[[], DataFrame], callbacks: dict[str, Callable[..., Any]], order: list[Column] | None = None, key: str = "id", skip_initial: bool = False, fields: list[str] | None = None) -> None:
-        self.run, self.callbacks, self.order, self.key, self.fields = run, callbacks, order, key, fields
+    def __init__(self, run: Callable[[], DataFrame], callbacks: dict[str, Callable[..., Any]], order: list[Column] | None = None, key: str = "id", skip_initial: bool = False, fields: list[str] | None = None, small: bool = False) -> None:
+        self.run, self.callbacks, self.order, self.key, self.fields, self.small = run, callbacks, order, key, fields, small
         self.last: DataFrame | None = None
         self.active = True
         if skip_initial:
@@ -57,7 +88,8 @@ class Observer:
         if not self.active:
             return
         new = self._result()
-        for e in events(self.last if self.last is not None else new.limit(0), new, self.order, self.key).toLocalIterator():
+        old = self.last if self.last is not None else new.limit(0)
+        for e in events(old, new, self.order, self.key, not PLACED.isdisjoint(self.callbacks), self.small).toLocalIterator():
             if e["event"] in self.callbacks:
                 self.callbacks[e["event"]](e)
             if e["event"] == "added" and "addedBefore" in self.callbacks:
@@ -66,3 +98,72 @@ class Observer:
 
     def cleanup(self) -> None:
         self.active, self.last = False, None
+
+
+class CountObserver:
+    """Calls back with the number of results when it changes; only rows that come or go matter."""
+
+    def __init__(self, count: Callable[[], int], callback: Callable[[int], Any], skip_initial: bool = False) -> None:
+        self.count, self.callback, self.active = count, callback, True
+        self.last = count()
+        if not skip_initial:
+            callback(self.last)
+
+    def requery(self) -> None:
+        if self.active and (now := self.count()) != self.last:
+            self.last = now
+            self.callback(now)
+
+    def cleanup(self) -> None:
+        self.active = False
+
+
+class Tracked:
+    """A row that notes which of its fields are read."""
+
+    def __init__(self, row: Any, read: set[str]) -> None:
+        object.__setattr__(self, "_row", row)
+        object.__setattr__(self, "_read", read)
+
+    def __getitem__(self, name: str) -> Any:
+        self._read.add(name)
+        return self._row[name]
+
+    def __getattr__(self, name: str) -> Any:
+        if name not in self._row.__fields__:
+            raise AttributeError(name)
+        return self[name]
+
+    def asDict(self) -> dict[str, Any]:  # noqa: N802  as rows have it
+        self._read.update(self._row.__fields__)
+        return self._row.asDict(True)
+
+
+class Effect:
+    """Runs a function on a query's items, and again when what it depends on has changed.
+
+    With tracking it depends on the items, their order and the fields that its last run has read, otherwise on all.
+    """
+
+    def __init__(self, run: Callable[[], DataFrame], f: Callable[[list[Tracked]], Any], order: list[Column], key: str = "id") -> None:
+        self.query, self.f, self.order, self.key, self.tracking, self.active = run, f, order, key, False, True
+        self._run(run())
+
+    def _run(self, df: DataFrame) -> None:
+        self.read: set[str] = set()
+        self.last = df
+        self.f([Tracked(r, self.read) for r in df.toLocalIterator()])
+
+    def requery(self) -> None:
+        if not self.active:
+            return
+        new = self.query()
+        fields = [c for c in new.columns if c in self.read or not self.tracking or c == self.key]
+        own = lambda df: df.select(*[f"`{c}`" for c in df.columns if c in fields or c == self.key])
+        a, b = own(self.last), own(new)
+        placed = bool(self.order) and all(c in b.columns for c in new.columns)
+        if a.columns != b.columns or not events(a, b, [*self.order, F.col(self.key)] if placed else [F.col(self.key)], self.key, placed).isEmpty():
+            self._run(new)
+
+    def cleanup(self) -> None:
+        self.active = False
