@@ -27,9 +27,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder below the cluster's shared ``spark.checkpoint.dir``; where that is unset, a temporary one of a local session."""
     top = spark.conf.get("spark.checkpoint.dir", None) or getattr(scratch_dir, "own", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = scratch_dir.own = tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top}/foliant/{uuid.uuid4().hex}"
