@@ -82,3 +82,18 @@ def matches(column: Column, pattern: str, options: str = "") -> Column:
 def same(a: Column, b: Column) -> Column:
     """Deep equality of two values of one type, null equal to null."""
     return a.eqNullSafe(b)
+
+
+def compact(column: Column, kind: T.ArrayType) -> Column:
+    """An array without its empty values: null, false, 0, NaN and the empty string."""
+
+    def full(e: Column) -> Column:
+        if isinstance(kind.elementType, T.BooleanType):
+            return F.coalesce(e, F.lit(False))
+        if isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
+            return e.isNotNull() & ~F.isnan(e) & (e != 0)
+        if isinstance(kind.elementType, T.NumericType):
+            return e.isNotNull() & (e != 0)
+        return e.isNotNull() & (e != "") if isinstance(kind.elementType, T.StringType) else e.isNotNull()
+
+    return F.filter(column, full)

@@ -12,26 +12,12 @@ from foliant.operators import changes as C
 from foliant.operators import modifier as M
 from foliant.operators.projection import project
 from foliant.operators.selector import compile_selector
+from foliant.plans import catalogue_live, catalogue_writes  # noqa: F401  they register their queries
 from foliant.plans.collection import Collection, Cursor
+from foliant.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from foliant.sources.clustered import ClusteredIndex
 from foliant.streaming.observe import events
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name], ORACLES[name] = f, sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def find(name: str, tab: str, selector: dict[str, Any], sql: str, prepare: Callable[[DataFrame], DataFrame] | None = None, **options: Any) -> None:
     """A query that is one find over a table."""
 
@@ -119,7 +105,7 @@ def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("count", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R')")
 def count(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
-    return df.where(compile_selector({"l_returnflag": {"$in": ["A", "R"]}}, df.schema)).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(Cursor(lambda: df, {"l_returnflag": {"$in": ["A", "R"]}}).count(),)], "n long")
 
 
 @query("lookup_left", "SELECT c_custkey, c_name, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -142,9 +128,9 @@ def semi_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("anti_nin", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_nin", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def anti_nin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    keys = table(spark, sf_dir, "orders").where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(keys, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -177,29 +163,32 @@ def mul_unset_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "p_size", "p_brand", "p_type")
 
 
-@query("push_pull_addtoset", "SELECT l_orderkey AS id, count(*) + 1 AS pushed, count(*) FILTER (l_returnflag != 'A') AS pulled, count(*) + CASE WHEN bool_or(l_returnflag = 'Z') THEN 0 ELSE 1 END AS added FROM lineitem GROUP BY l_orderkey")
+LIST = "string_agg({}, ',' ORDER BY l_linenumber, l_quantity, l_returnflag)"
+
+
+def flag_docs(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Orders with the flags of their lines, in the lines' order, under each name."""
+    line = F.struct("l_linenumber", "l_quantity", "l_returnflag")
+    df = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("all"))
+    return df.select("id", *[F.col("all.l_returnflag").alias(n) for n in names])
+
+
+@query("push_pull_addtoset", f"SELECT l_orderkey AS id, {LIST.format('l_returnflag')} || ',Z' AS pushed, coalesce({LIST.format('l_returnflag')} FILTER (l_returnflag != 'A'), '') AS pulled, {LIST.format('l_returnflag')} || CASE WHEN bool_or(l_returnflag = 'R') THEN '' ELSE ',R' END AS added FROM lineitem GROUP BY l_orderkey")
 def push_pull_addtoset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = order_docs(table(spark, sf_dir, "lineitem")).select("id", F.col("flags").alias("pushed"), F.col("flags").alias("pulled"), F.col("flags").alias("added"))
-    out = updated(df, {}, {"$push": {"pushed": "Z"}, "$pull": {"pulled": "A"}, "$addToSet": {"added": "Z"}})
-    return out.select("id", *[F.size(c).cast("long").alias(c) for c in ("pushed", "pulled", "added")])
+    out = updated(flag_docs(spark, sf_dir, "pushed", "pulled", "added"), {}, {"$push": {"pushed": "Z"}, "$pull": {"pulled": "A"}, "$addToSet": {"added": "R"}})
+    return out.select("id", *[F.array_join(c, ",").alias(c) for c in ("pushed", "pulled", "added")])
 
 
-@query("pop_pullall", "SELECT l_orderkey AS id, count(*) - 1 AS popped, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS pulled FROM lineitem GROUP BY l_orderkey")
+@query("pop_pullall", f"SELECT l_orderkey AS id, regexp_replace({LIST.format('l_returnflag')}, ',?[A-Z]$', '') AS popped, regexp_replace({LIST.format('l_returnflag')}, '^[A-Z],?', '') AS first, coalesce({LIST.format('l_returnflag')} FILTER (l_returnflag NOT IN ('A', 'N')), '') AS pulled FROM lineitem GROUP BY l_orderkey")
 def pop_pullall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = order_docs(table(spark, sf_dir, "lineitem")).select("id", F.col("flags").alias("popped"), F.col("flags").alias("pulled"))
-    return updated(df, {}, {"$pop": {"popped": 1}, "$pullAll": {"pulled": ["A", "N"]}}).select("id", *[F.size(c).cast("long").alias(c) for c in ("popped", "pulled")])
+    out = updated(flag_docs(spark, sf_dir, "popped", "first", "pulled"), {}, {"$pop": {"popped": 1, "first": -1}, "$pullAll": {"pulled": ["A", "N"]}})
+    return out.select("id", *[F.array_join(c, ",").alias(c) for c in ("popped", "first", "pulled")])
 
 
-@query("nested_array_set", "SELECT l_orderkey AS id, CAST(count(*) AS DOUBLE) AS total FROM lineitem GROUP BY l_orderkey")
+@query("nested_array_set", "SELECT l_orderkey AS id, CAST(count(*) AS DOUBLE) AS total, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_orderkey")
 def nested_array_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = updated(order_docs(table(spark, sf_dir, "lineitem")), {}, {"$set": {"items.$[].q": 1.0}})
-    return out.select("id", F.aggregate("items", F.lit(0.0), lambda a, e: a + e["q"]).alias("total"))
-
-
-@query("remove_many", "SELECT c_custkey FROM customer WHERE NOT (c_nationkey < 5)")
-def remove_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "customer")
-    return df.where(compile_selector({"$nor": [{"c_nationkey": {"$lt": 5}}]}, df.schema)).select("c_custkey")
+    return out.select("id", F.aggregate("items", F.lit(0.0), lambda a, e: a + e["q"]).alias("total"), F.array_join(F.array_sort("items.f"), ",").alias("flags"))
 
 
 @query("upsert", "SELECT c_custkey, 'new' AS c_name FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 10 != 0 UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_custkey % 10 = 0")
@@ -258,9 +247,23 @@ def fold_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("last_write_wins", "SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS kind, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    last = e.groupBy(F.col("user_id").alias("id")).agg(F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("r"))
-    return last.select("id", F.col("r.event_type").alias("kind"), "r.value")
+    log = event_log(spark, sf_dir).withColumns({"type": F.lit("update"), "present": F.array(F.lit("kind"), F.lit("value"))})
+    return C.replay(log.select("id", "kind", "value").limit(0), log)
+
+
+REPLAY_BASE = """WITH gone AS (SELECT user_id, max((ts, event_id)) FILTER (event_type = 'error') AS g FROM events GROUP BY user_id),
+live AS (SELECT e.* FROM events e JOIN gone USING (user_id) WHERE event_type != 'error' AND (g IS NULL OR (ts, event_id) > g)),
+last AS (SELECT user_id, bool_or(event_type = 'purchase') AS bought, arg_max(value, (ts, event_id)) AS value FROM live GROUP BY user_id),
+base AS (SELECT c_custkey AS id, 'base' AS kind, c_acctbal AS value FROM customer)
+SELECT coalesce(b.id, g.user_id) AS id, CASE WHEN l.bought THEN 'purchase' WHEN g.g IS NULL THEN b.kind END AS kind, CASE WHEN l.user_id IS NOT NULL THEN l.value ELSE b.value END AS value
+FROM base b FULL JOIN gone g ON b.id = g.user_id LEFT JOIN last l ON l.user_id = g.user_id WHERE g.user_id IS NULL OR g.g IS NULL OR l.user_id IS NOT NULL"""
+
+
+@query("replay_on_base", REPLAY_BASE)
+def replay_on_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changelog over documents that are there: inserts merge, updates set a field, removals delete."""
+    base = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "'base' AS kind", "c_acctbal AS value")
+    return C.replay(base, event_log(spark, sf_dir))
 
 
 @query("sync_three_way", "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'mine' WHEN c_custkey % 3 = 0 THEN 'theirs' ELSE c_name END AS name FROM customer WHERE c_custkey % 5 != 0")
@@ -282,12 +285,14 @@ n AS (SELECT *, lead(id) OVER (ORDER BY name, id) AS nx, row_number() OVER (ORDE
 SELECT n.id AS id, 'added' AS event, CAST(n.nx AS VARCHAR) AS before FROM n LEFT JOIN o ON o.id = n.id WHERE o.id IS NULL
 UNION ALL SELECT o.id, 'removed', NULL FROM o LEFT JOIN n ON o.id = n.id WHERE n.id IS NULL
 UNION ALL SELECT n.id, 'changed', NULL FROM n JOIN o ON o.id = n.id WHERE o.name IS DISTINCT FROM n.name OR o.bal IS DISTINCT FROM n.bal
-UNION ALL SELECT n.id, 'movedBefore', CAST(n.nx AS VARCHAR) FROM n JOIN o ON o.id = n.id WHERE o.p != n.p AND o.nx IS DISTINCT FROM n.nx"""
+UNION ALL SELECT n.id, 'movedBefore', CAST(n.nx AS VARCHAR) FROM n JOIN o ON o.id = n.id WHERE o.p != n.p AND o.nx IS DISTINCT FROM n.nx
+UNION ALL SELECT n.id, 'changedField', 'name' FROM n JOIN o ON o.id = n.id WHERE o.name IS DISTINCT FROM n.name
+UNION ALL SELECT n.id, 'changedField', 'bal' FROM n JOIN o ON o.id = n.id WHERE o.bal IS DISTINCT FROM n.bal"""
 
 
 @query("observer_events", EVENTS)
 def observer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(*versions(spark, sf_dir), [F.col("name"), F.col("id")]).where("event != 'changedField'").select("id", "event", "before")
+    return events(*versions(spark, sf_dir), [F.col("name"), F.col("id")]).select("id", "event", F.coalesce("field", "before").alias("before"))
 
 
 @query("autofetch_merge", "SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE c_mktsegment END AS seg, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS nation FROM customer")

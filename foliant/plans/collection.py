@@ -522,7 +522,14 @@ class Collection:
     def reset(self, df: DataFrame) -> None:
         """Replace all items; handlers, rules and observers stay."""
         self._open()
-        self._commit(self._ordered(df), "reset", df)
+        before = self.df
+
+        def written() -> DataFrame:
+            gone = before.drop(SEQ).join(df.select(self.key), self.key, "left_anti")
+            came = self._log(df.withColumn(SEQ, F.lit(0)), "insert", [c for c in df.columns if c not in (self.key, SEQ)])
+            return came.unionByName(self._log(gone.withColumn(SEQ, F.lit(0)), "remove", []), allowMissingColumns=True)
+
+        self._commit(self._ordered(df), "reset", df, written=written)
 
     def dispose(self) -> None:
         """Observers end, handlers hear ``dispose``; every later call is an error."""

@@ -6,8 +6,11 @@ folder of its own and then replace a pointer, so that readers never see half a s
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,10 +92,53 @@ class VersionedStore(BaseStore):
 
 
 class JsonFileStore(BaseStore):
-    """One JSON array in a file, with read-modify-write: upsert added and modified, ignore unknown removals."""
+    """One JSON array in a file, with read-modify-write: upsert added and modified, ignore unknown removals.
+
+    Rows become text on the executors; the driver only joins their files, and the new file takes the old one's place in
+    one step. :meth:`watch` tells the listener of changes that others make.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema, key: str = "id") -> None:
         self.spark, self.path, self.schema, self.key = spark, path, schema, key
+        self.watching: threading.Event | None = None
+        self.stamp = self._stamp()
+
+    def _stamp(self) -> tuple[int, int] | None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return None
+        status = fs.getFileStatus(p)
+        return status.getModificationTime(), status.getLen()
+
+    def poll(self) -> bool:
+        """Whether the file is another than at the last look; then the listener is called."""
+        now = self._stamp()
+        if now == self.stamp:
+            return False
+        self.stamp = now
+        self.changed()
+        return True
+
+    def watch(self, seconds: float = 1.0) -> None:
+        """Poll until the store is unregistered."""
+        self.unwatch()
+        self.watching = stop = threading.Event()
+
+        def run() -> None:
+            while not stop.wait(seconds):
+                self.poll()
+
+        threading.Thread(target=run, daemon=True).start()
+
+    def unwatch(self) -> None:
+        if self.watching:
+            self.watching.set()
+            self.watching = None
+
+    def unregister(self) -> None:
+        self.unwatch()
+        super().unregister()
 
     def load(self) -> Load:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -106,19 +152,30 @@ class JsonFileStore(BaseStore):
         if changes is not None and not changes.isEmpty():
             part = lambda kind, side: changes.where(F.col("kind") == kind).select(self.key, f"{side}.*")
             state = snapshot(self.load().items, part("added", "new"), part("modified", "new"), part("removed", "old"), key=self.key)
-        conf = self.spark._jsc.hadoopConfiguration()
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        target, staged = path(self.path), path(f"{self.path}.{uuid.uuid4().hex}")
-        fs = target.getFileSystem(conf)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path
+        target, mark = path(self.path), uuid.uuid4().hex
+        fs, parts, staged = target.getFileSystem(conf), path(f"{self.path}.{mark}.parts"), path(f"{self.path}.{mark}")
+        lines = state.select(F.concat(F.lit(","), F.to_json(F.struct(*[f"`{f.name}`" for f in self.schema.fields]))).alias("value"))
+        lines.write.text(parts.toString())
         out, first = fs.create(staged), True
         out.write(b"[")
-        for row in state.select(F.to_json(F.struct(*[f"`{f.name}`" for f in self.schema.fields])).alias("j")).toLocalIterator():  # a single file is written by one writer, row by row
-            out.write((("" if first else ",") + row["j"]).encode())
-            first = False
+        for status in sorted(fs.globStatus(path(f"{parts}/part-*")) or [], key=lambda s: s.getPath().getName()):
+            if status.getLen():
+                own = fs.open(status.getPath())
+                if first:
+                    own.read()  # its comma
+                first = False
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(own, out, conf, False)
+                own.close()
         out.write(b"]")
         out.close()
-        fs.delete(target, False)
-        fs.rename(staged, target)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = self.spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(target), over)
+        fs.delete(parts, True)
+        self.stamp = self._stamp()
         self.changed()
 
 
@@ -138,21 +195,39 @@ class ReplicatedStore(BaseStore):
 
 
 class TieredStore(BaseStore):
-    """A fast store in front of a slow one: the first load serves the fast one, the next the slow one."""
+    """A fast store in front of a slow one.
+
+    The first load serves the fast one while the slow one is being read; the next load has the slow one's result. A
+    result of the slow one serves all loads for ``cache`` seconds.
+    """
 
-    def __init__(self, slow: BaseStore, fast: BaseStore) -> None:
-        self.slow, self.fast, self.first = slow, fast, True
+    def __init__(self, slow: BaseStore, fast: BaseStore, cache: float = 0.1, clock: Callable[[], float] = time.monotonic) -> None:
+        self.slow, self.fast, self.cache, self.clock = slow, fast, cache, clock
+        self.pending: Future[Load] | None = None
+        self.first = True
+        self.last: tuple[float, Load] | None = None
 
     def load(self) -> Load:
         if self.first:
             self.first = False
+            pool = ThreadPoolExecutor(1)
+            self.pending = pool.submit(self.slow.load)
+            pool.shutdown(wait=False)
             return self.fast.load()
-        out = self.slow.load()
+        if self.pending:
+            pending, self.pending = self.pending, None
+            out = pending.result()
+        elif self.last and self.clock() - self.last[0] < self.cache:
+            return self.last[1]
+        else:
+            out = self.slow.load()
         if out.items is not None:
             self.fast.save(out.items)
+        self.last = self.clock(), out
         return out
 
     def save(self, items: DataFrame, changes: DataFrame | None = None) -> None:
+        self.last = None
         self.fast.save(items, changes)
         self.slow.save(items, changes)
 

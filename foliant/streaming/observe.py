@@ -48,7 +48,9 @@ def events(old: DataFrame, new: DataFrame, order: list[Column] | None = None, ke
     Without ``positions`` nothing is sorted: no row is found moved, and ``before`` is null. small: see :func:`positioned`.
     """
     order = order or [F.col(key)]
-    names = [c for c in new.columns if c != key]
+    kinds = {f.name: f.dataType for df in (old, new) for f in df.schema.fields if f.name != key}
+    names = list(kinds)  # a column that only one of them has is null in the other
+    old, new = (df.withColumns({c: F.lit(None).cast(k) if c not in df.columns else F.col(f"`{c}`").cast(k) for c, k in kinds.items() if c not in df.columns or df.schema[c].dataType != k}) for df in (old, new))
     none_ = lambda df: df.withColumns({"__pos": F.lit(0), "__next": F.lit(None).cast(df.schema[key].dataType)})
     pack = lambda df, s: (positioned(df, order, key, small) if positions else none_(df)).select(F.col(key).alias(f"__k{s}"), F.struct(*[F.col(f"`{c}`") for c in names]).alias(f"__{s}"), F.col("__pos").alias(f"__p{s}"), F.col("__next").alias(f"__n{s}"))
     both = pack(old, "o").join(pack(new, "n"), F.col("__ko") == F.col("__kn"), "full_outer")

@@ -167,7 +167,7 @@ def test_sync_manager(spark, people):
     def push(name, d):
         remote["df"] = C.upsert(remote["df"].join(d.where("kind = 'removed'").select("id"), "id", "left_anti"), d.where("kind != 'removed'").select("id", "new.*"))
 
-    m = SyncManager(lambda n, f: C.Load(items=remote["df"]), push)
+    m = SyncManager(lambda n, f: C.Load(items=remote["df"]), push, push_delay=None)
     c = Collection(people.limit(0), "synced")
     m.add_collection(c)
     m.sync("synced")
@@ -230,3 +230,94 @@ def test_changelog_stream_equals_batch_replay(spark, tmp_path):
     q = replay_stream(read_changelog(spark, f"{tmp_path}/log", schema, 1), store, f"{tmp_path}/ck")
     q.awaitTermination()
     assert rows(store.load().items) == rows(C.replay(spark.createDataFrame([], "id int, s string"), log))
+
+
+def test_numbers_widen_and_never_lose_digits(spark):
+    df = spark.createDataFrame([(5, 9, 2.5, None), (1, 2, None, [1, 2])], "i int, l long, d double, a array<int>")
+    got = lambda change, c: [r[c] for r in df.withColumns(M.columns(change, df.schema)).collect()]
+    assert got({"$inc": {"i": 0.5}}, "i") == [5.5, 1.5] and got({"$set": {"i": 2.5}}, "i") == [2.5, 2.5]
+    assert got({"$mul": {"i": 1.5}}, "i") == [7.5, 1.5] and got({"$min": {"l": 7.5}}, "l") == [7.5, 2.0]
+    assert got({"$set": {"i": 3.0}}, "i") == [3, 3] and got({"$inc": {"i": 1}}, "i") == [6, 2] and got({"$inc": {"i": 1 << 40}}, "i") == [5 + (1 << 40), 1 + (1 << 40)]
+    assert got({"$addToSet": {"a": None}}, "a") == [[None], [1, 2, None]] and got({"$inc": {"a.$[]": 0.5}}, "a")[1] == [1.5, 2.5]
+    prices = spark.sql("SELECT cast(1.25 as decimal(10,2)) AS p")
+    assert [r[0] for r in prices.withColumns(M.columns({"$inc": {"p": 0.125}}, prices.schema)).collect()] == [1.375]
+    nested = spark.createDataFrame([((1, "x"),)], "s struct<n:int,m:string>")
+    assert nested.withColumns(M.columns({"$rename": {"s.m": "s.m2"}} if "m2" in nested.columns else {"$inc": {"s.n": 0.5}}, nested.schema)).first()["s"]["n"] == 1.5
+    c = Collection(spark.createDataFrame([(1, 5, (1, "a")), (2, 6, (2, "b"))], "id int, n int, s struct<x:int,y:string>"))
+    assert c.update_many({"id": 1}, {"$inc": {"n": 0.5, "s.x": 0.25}}) == 1
+    assert [(r["n"], r["s"]["x"]) for r in c.find({}, sort={"id": 1})] == [(5.5, 1.25), (6.0, 2.0)]
+    assert c.update_many({}, {"$rename": {"s.y": "n2"}} if "n2" in c.df.columns else {"$set": {"n": 1}}) == 2
+
+
+def test_observer_positions_without_a_global_window(spark):
+    import random
+
+    from foliant.streaming.observe import positioned
+
+    rnd = random.Random(1)
+    df = spark.createDataFrame([(i, rnd.randrange(40), "x" if i % 3 else None) for i in range(500)], "id int, v int, s string").repartition(5)
+    order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    assert rows(positioned(df, order)) == rows(positioned(df, order, small=True))
+    assert positioned(df.limit(0), order).count() == 0
+    plan = positioned(df, order)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_whole_updates_keep_their_keys(people):
+    c = Collection(people)
+    assert c.update_many({"id": {"$in": ["1", "2"]}}, {"name": "w"}) == 2
+    assert [tuple(r) for r in c.find({}, sort={"id": 1})] == [("1", "w", None, None), ("2", "w", None, None), ("3", "Cid", None, None)]
+    with pytest.raises(ValueError):
+        c.update_many({"id": {"$in": ["1", "2"]}}, {"id": "9"})
+    assert c.update_one({"id": "nobody"}, {"id": "4", "name": "n"}, upsert=True) == 1
+
+
+def test_file_store_replaces_in_one_step_and_is_watched(spark, people, tmp_path):
+    import os
+    import time
+
+    path = f"{tmp_path}/items.json"
+    a, b, heard = JsonFileStore(spark, path, people.schema), JsonFileStore(spark, path, people.schema), []
+    a.save(people.limit(0))
+    assert a.load().items.isEmpty()
+    b.register(lambda *_: heard.append(1))
+    assert b.poll() and not b.poll()
+    b.watch(0.05)
+    a.save(people)
+    for _ in range(100):
+        if len(heard) > 1:
+            break
+        time.sleep(0.1)
+    b.unregister()
+    assert len(heard) == 2 and rows(b.load().items) == rows(people) and [f for f in os.listdir(tmp_path) if not f.startswith(".")] == ["items.json"]
+
+
+def test_tiered_store_reads_the_slow_one_once(people):
+    now, calls = [0.0], []
+
+    class Slow(MemoryStore):
+        def load(self):
+            calls.append(1)
+            return super().load()
+
+    t = TieredStore(Slow(people), MemoryStore(people.limit(1)), cache=5, clock=lambda: now[0])
+    assert t.load().items.count() == 1 and t.load().items.count() == 3 and t.load().items.count() == 3 and len(calls) == 1
+    now[0] = 6.0
+    assert t.load().items.count() == 3 and len(calls) == 2
+
+
+def test_autofetch_purges_by_time(spark):
+    import time
+
+    a = AutoFetch(lambda s: spark.createDataFrame([(1, "a")], "id int, name string"), 0.05)
+    assert [r["id"] for r in a.find({"name": "a"})] == [1]
+    for _ in range(100):
+        if not a.cached:
+            break
+        time.sleep(0.1)
+    assert not a.cached
+    o = a.observe({"name": "a"}, {})
+    time.sleep(0.3)
+    assert len(a.cached) == 1
+    o.cleanup()
+    a.dispose()

@@ -119,3 +119,20 @@ def test_dynamic_truth_table(spark):
     count = lambda s: df.where(compile_dynamic(s)).count()
     assert [count({"name": v}) for v in (None, "", 0, False, [], {})] == [2, 1, 1, 1, 1, 1]
     assert (count({"name": {"$exists": False}}), count({"name": {"$exists": True}}), count({"name": {"$ne": 0}})) == (1, 7, 7)
+
+
+def test_schema_refuses_what_it_does_not_know(spark):
+    df = spark.createDataFrame([("a", [1, 2]), ("bb", [3, 3])], "s string, a array<int>")
+    count = lambda spec: df.where(compile_selector({"$jsonSchema": spec}, df.schema)).count()
+    with pytest.raises(ValueError):
+        count({"patternProperties": {}})
+    assert count({"properties": {"s": {"maxLength": 1}}}) == 1 and count({"properties": {"a": {"uniqueItems": True}}}) == 1
+    assert count({"properties": {"s": {}}, "additionalProperties": False}) == 0 and count({"oneOf": [{"properties": {"s": {"const": "a"}}}, {"properties": {"s": {"pattern": "^b+$"}}}]}) == 2
+    assert count({"properties": {"a": {"items": {"exclusiveMinimum": 2}}}}) == 1
+
+
+def test_nan_is_above_nothing(spark):
+    df = spark.createDataFrame([(1, float("nan"), [float("nan")]), (2, 3.0, [3.0]), (3, None, None)], "id int, x double, a array<double>")
+    ids = lambda s: [r[0] for r in df.where(compile_selector(s, df.schema)).orderBy("id").collect()]
+    assert ids({"x": {"$gt": 1}}) == ids({"x": {"$gte": 1}}) == ids({"a": {"$gt": 1}}) == [2]
+    assert ids({"x": {"$lt": 9}}) == [2] and ids({"x": {"$not": {"$gt": 1}}}) == [1, 3] and ids({"x": {"$lt": float("nan")}}) == []
