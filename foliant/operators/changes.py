@@ -147,8 +147,11 @@ def first_of(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*by, *[F.col("__r").getField(c).alias(c) for c in rest])
 
 
-def lookup(items: DataFrame, related: DataFrame, foreign: str, key: str, into: str, order: list[str] | None = None) -> DataFrame:
-    """Attach to each item the first related row, as a struct or null: a left join that Catalyst may broadcast."""
-    side = first_of(related, [key], [F.col(c) for c in (order or [c for c in related.columns if c != key][:1] or [key])]) if len(related.columns) > 1 else related.distinct()
+def lookup(items: DataFrame, related: DataFrame, foreign: str, key: str, into: str, order: list[str] | None = None, unique: bool = False) -> DataFrame:
+    """Attach to each item the first related row, as a struct or null: a left join that Catalyst may broadcast.
+
+    unique: ``related`` has a key once at most, so that no first row need be found.
+    """
+    side = related if unique else first_of(related, [key], [F.col(c) for c in (order or [c for c in related.columns if c != key][:1] or [key])]) if len(related.columns) > 1 else related.distinct()
     packed = side.select(F.col(key).alias("__k"), F.struct(*[F.col(f"`{c}`") for c in related.columns]).alias(into))
     return items.join(packed, items[foreign] == F.col("__k"), "left").drop("__k")

@@ -110,14 +110,14 @@ def count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lookup_left", "SELECT c_custkey, c_name, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = C.lookup(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", "nation")
+    out = C.lookup(table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), "c_nationkey", "n_nationkey", "nation", unique=True)
     return out.select("c_custkey", "c_name", "nation.n_name", "nation.n_regionkey")
 
 
 @query("lookup_orders", "SELECT l_orderkey, count(*) AS n, min(o_orderdate) AS placed FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey")
 def lookup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
-    out = C.lookup(lines, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "l_orderkey", "o_orderkey", "order")
+    out = C.lookup(lines, table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "l_orderkey", "o_orderkey", "order", unique=True)
     return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("order.o_orderdate").alias("placed"))
 
 

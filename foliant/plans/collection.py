@@ -144,7 +144,7 @@ class Cursor:
     def observe(self, callbacks: dict[str, Callable[..., Any]], skip_initial: bool = False, fields: list[str] | None = None) -> Observer:
         """Events between this cursor's results; see ``Observer``."""
         order = [*order_columns(self._shown().schema, self.sort), F.col(self.key)]
-        return Observer(self._shown, callbacks, order, self.key, skip_initial, fields, small=bool(self.limit))
+        return Observer(self._shown, callbacks, order, self.key, skip_initial, fields, small=True if self.limit else None)
 
     def _shown(self) -> DataFrame:
         return project(self._window().drop(SEQ), self.fields, self.key)

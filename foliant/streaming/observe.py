@@ -13,14 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positioned(df: DataFrame, order: list[Column], key: str = "id", small: bool = False) -> DataFrame:
+#: A result that the optimizer holds for at most so many bytes is sorted by one task.
+SMALL_BYTES = 32 << 20
+
+
+def positioned(df: DataFrame, order: list[Column], key: str = "id", small: bool | None = None) -> DataFrame:
     """Add __pos (from 1) and __next (following key) in the order of the whole result.
 
-    A ``small`` result, one with a limit, is one window. Any other is dealt by ranges of its sort keys and sorted there;
+    A ``small`` result, one with a limit or of ``SMALL_BYTES`` by the optimizer's estimate, is one window. Any other is dealt by ranges of its sort keys and sorted there;
     a row's place in its part is its place in the task's output. It is written once, so that the parts are the same for
     all that follows: the parts' sizes (a row for each) move the places up, and the first key of each part is what
     follows the last one of the part before.
     """
+    if small is None:
+        small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_BYTES
     if small:
         w = Window.orderBy(*order)
         return df.withColumns({"__pos": F.row_number().over(w), "__next": F.lead(key).over(w)})
@@ -42,7 +48,7 @@ def positioned(df: DataFrame, order: list[Column], key: str = "id", small: bool
     return out.select(*df.columns, (F.col("__base") + F.col("__nth") + 1).alias("__pos"), F.when(F.col("__nth") == F.col("__last"), F.col("__after")).otherwise(F.col("__lead")).alias("__next"))
 
 
-def events(old: DataFrame, new: DataFrame, order: list[Column] | None = None, key: str = "id", positions: bool = True, small: bool = False) -> DataFrame:
+def events(old: DataFrame, new: DataFrame, order: list[Column] | None = None, key: str = "id", positions: bool = True, small: bool | None = None) -> DataFrame:
     """event ('added', 'changed', 'changedField', 'movedBefore', 'removed'), key, field, old, new (text), before.
 
     Without ``positions`` nothing is sorted: no row is found moved, and ``before`` is null. small: see :func:`positioned`.
@@ -73,7 +79,7 @@ PLACED = frozenset({"movedBefore", "addedBefore"})
 class Observer:
     """Calls back with the events of each new result of a query; positions are found only for callbacks that need them."""
 
-    def __init__(self, run: Callable[[], DataFrame], callbacks: dict[str, Callable[..., Any]], order: list[Column] | None = None, key: str = "id", skip_initial: bool = False, fields: list[str] | None = None, small: bool = False) -> None:
+    def __init__(self, run: Callable[[], DataFrame], callbacks: dict[str, Callable[..., Any]], order: list[Column] | None = None, key: str = "id", skip_initial: bool = False, fields: list[str] | None = None, small: bool | None = None) -> None:
         self.run, self.callbacks, self.order, self.key, self.fields, self.small = run, callbacks, order, key, fields, small
         self.last: DataFrame | None = None
         self.active = True

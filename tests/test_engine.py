@@ -257,9 +257,9 @@ def test_observer_positions_without_a_global_window(spark):
     rnd = random.Random(1)
     df = spark.createDataFrame([(i, rnd.randrange(40), "x" if i % 3 else None) for i in range(500)], "id int, v int, s string").repartition(5)
     order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
-    assert rows(positioned(df, order)) == rows(positioned(df, order, small=True))
-    assert positioned(df.limit(0), order).count() == 0
-    plan = positioned(df, order)._jdf.queryExecution().executedPlan().toString()
+    assert rows(positioned(df, order, small=False)) == rows(positioned(df, order, small=True)) == rows(positioned(df, order))
+    assert positioned(df.limit(0), order, small=False).count() == 0
+    plan = positioned(df, order, small=False)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
 
 
