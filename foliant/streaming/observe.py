@@ -26,7 +26,7 @@ def positioned(df: DataFrame, order: list[Column], key: str = "id", small: bool
     follows the last one of the part before.
     """
     if small is None:
-        small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_BYTES
+        small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BYTES
     if small:
         w = Window.orderBy(*order)
         return df.withColumns({"__pos": F.row_number().over(w), "__next": F.lead(key).over(w)})
