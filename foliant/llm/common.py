@@ -72,14 +72,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, spread: int | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], out: str, spread: int | None = None, bucket: str | None = None) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... within each ``group``, without gathering a group in one task.
 
     A group's rows are dealt to ``spread`` buckets by a hash of ``order``, numbered inside their bucket, and moved up
-    by the counts of the buckets before. Only those counts, at most ``spread`` per group, meet in one window.
+    by the counts of the buckets before. Only those counts, at most ``spread`` per group, meet in one window. Where rows
+    may be alike in ``order`` very often, a written column ``bucket`` deals them instead.
     """
     n = spread or max(64, parts(df.sparkSession))
-    keyed = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    keyed = df.withColumn("__bucket", F.col(bucket) if bucket else F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
     sizes = keyed.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__base", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")

@@ -552,6 +552,8 @@ def linked_documents(docs: DataFrame, rule: Rule) -> DataFrame:
     members = materialise(clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct()))
     grouped = materialise(texts.join(few(members), "node").select("node", "root", "text"))
     root = materialise(connected_components(verified(grouped, rule)))
+    for done in (texts, forest, members, grouped):
+        drop_table(done)
     final = materialise(nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep"))
     best = materialise(final.groupBy("root").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("__c")))
     moved = materialise(best.where(F.col("__c") > 1).drop("__c"))  # the others stand for themselves

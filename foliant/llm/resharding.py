@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import gapless_rank, materialise, scratch_dir, table
+from foliant.llm.common import gapless_rank, materialise, parts, scratch_dir, table
 
 OLD_SHARDS = 12
 NEW_SHARDS = 16
@@ -151,41 +151,49 @@ def facts(docs: DataFrame, old_shards: int = OLD_SHARDS) -> dict[str, Column]:
     return {"doc_id": doc_id, "size": (F.octet_length(raw) + 1).cast("long"), "text_crc32": F.crc32(raw), "key": key, "row": F.xxhash64(doc_id, key), "old_shard": old}
 
 
-def measured(docs: DataFrame, old_shards: int = OLD_SHARDS, *more: str) -> DataFrame:
-    """The :func:`facts` of each document, and ``more`` of its columns."""
-    return docs.select(*[c.alias(n) for n, c in facts(docs, old_shards).items()], *more)
+def measured(docs: DataFrame, old_shards: int = OLD_SHARDS) -> DataFrame:
+    """The :func:`facts` of each document."""
+    return docs.select(*[c.alias(n) for n, c in facts(docs, old_shards).items()])
 
 
-#: Columns of a layout, whose names no table of documents has.
+#: Columns of a layout.
 OLD, NEW = "__old_shard", "__shard"
 
 
-def rewrite(layout: DataFrame, folder: str) -> dict[int, str]:
-    """Bring the files below ``folder`` to ``layout``: rows with all their columns, ``OLD`` and ``NEW`` shard.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def rewrite(layout: DataFrame, folder: str, old: str = OLD, new: str = NEW) -> dict[int, str]:
+    """Bring the files below ``folder`` to ``layout``: rows with all their columns, and their ``old`` and ``new`` shard.
 
     Shards that neither give nor take rows keep their folder; the others are written to new ones. The manifest, which
     readers follow, is replaced at the end, so a reader or a lost driver never leaves a mixture.
     """
     spark = layout.sparkSession
     held = manifest(spark, folder)
-    moves = layout.where(F.col(OLD) != F.col(NEW)).select(OLD, NEW).distinct().collect() if held else []  # pairs of shards
+    moves = layout.where(F.col(old) != F.col(new)).select(old, new).distinct().collect() if held else []  # pairs of shards
     touched = sorted({x for r in moves for x in r})
-    new = {s: p for s, p in held.items() if s not in touched}
+    shards = {s: p for s, p in held.items() if s not in touched}
     if touched or not held:
         name = f"data-{uuid.uuid4().hex}"
-        rows = layout.where(F.col(NEW).isin(touched)) if held else layout
+        rows = layout.where(F.col(new).isin(touched)) if held else layout
         setting = "spark.sql.maxConcurrentOutputFileWriters"
         before = spark.conf.get(setting, "0")
         spark.conf.set(setting, "64")  # one open file for each shard instead of a sort of whole rows
         try:
-            rows.drop(OLD).write.partitionBy(NEW).parquet(f"{folder}/{name}")
+            rows.drop(old).write.partitionBy(new).parquet(f"{folder}/{name}")
         finally:
             spark.conf.set(setting, before)
-        new |= {int(p.rpartition("=")[2]): f"{name}/{p}" for p in children(spark, f"{folder}/{name}", f"{NEW}=*")}
+        shards |= {int(p.rpartition("=")[2]): f"{name}/{p}" for p in children(spark, f"{folder}/{name}", f"{new}=*")}
     version = max(versions(spark, folder), default=0) + 1
-    text = json.dumps({"shards": new, "schema": layout.drop(OLD, NEW).schema.json()})
+    text = json.dumps({"shards": shards, "schema": layout.drop(old, new).schema.json()})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/manifest={version:08d}")
-    return new
+    return shards
 
 
 def children(spark: SparkSession, folder: str, pattern: str) -> list[str]:
@@ -221,13 +229,16 @@ def read_shards(spark: SparkSession, folder: str, name: str = NEW) -> DataFrame:
 def op5_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in ``OLD_SHARDS`` shards, brought to ``NEW_SHARDS`` of equal bytes, as their files then have them."""
     docs, folder = table(spark, sf_dir, "documents"), scratch_dir(spark)
-    rewrite(docs.withColumns({OLD: F.lit(-1), NEW: facts(docs)["old_shard"]}), folder)
-    held = read_shards(spark, folder, OLD)
+    old, new = free_name(docs, OLD), free_name(docs, NEW)
+    rewrite(docs.withColumns({old: F.lit(-1), new: facts(docs)["old_shard"]}), folder, old, new)
+    held = read_shards(spark, folder, old)
     own = facts(held)
-    planned = reshard(held.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), F.col(OLD).alias("old_shard"), *[own[n].alias(n) for n in ("size", "key", "row")]))
-    rewrite(planned.select("doc.*", F.col("old_shard").alias(OLD), F.col("shard").alias(NEW)), folder)
-    rows = materialise(measured(read_shards(spark, folder), OLD_SHARDS, NEW).withColumnRenamed(NEW, "shard"))
-    return gapless_rank(rows, ["shard"], ["doc_id", "key"], "slot").select(
+    planned = reshard(held.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), F.col(old).alias("old_shard"), *[own[n].alias(n) for n in ("size", "key", "row")]))
+    rewrite(planned.select("doc.*", F.col("old_shard").alias(old), F.col("shard").alias(new)), folder, old, new)
+    bucket = F.pmod(F.monotonically_increasing_id(), F.lit(max(64, parts(spark)))).cast("int")  # also of rows that are alike
+    moved = read_shards(spark, folder, new)
+    rows = materialise(moved.select(*[c.alias(n) for n, c in facts(moved).items()], F.col(new).alias("shard"), bucket.alias("bucket")))
+    return gapless_rank(rows, ["shard"], ["doc_id", "key"], "slot", bucket="bucket").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "old_shard", (F.col("old_shard") != F.col("shard")).alias("moved"),
     )
