@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm.common import materialise, table
+from foliant.llm.common import drop_table, materialise, table
 from foliant.llm.decontaminate import decontamination_stage
 from foliant.llm.jaccard_join import dedup_stage
 from foliant.llm.langid import langid_stage
@@ -33,7 +33,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        if last is not None:
+            drop_table(last)  # nothing reads a stage's input any more
+        last = docs
     return docs
