@@ -14,7 +14,7 @@ from foliant.plans.collection import Collection, scratch
 from foliant.plans.persistence import Persisted
 from foliant.plans.registry import query, table
 from foliant.plans.telemetry import Telemetry
-from foliant.sources.stores import BaseStore, JsonFileStore, MemoryStore, ReplicatedStore, TieredStore, VersionedStore, apply_load
+from foliant.sources.stores import BaseStore, JsonFileStore, MemoryStore, ReplicatedStore, TieredStore, VersionedStore, apply_load, create_store
 from foliant.streaming.autofetch import AutoFetch
 from foliant.streaming.changelog import read_changelog, replay_stream
 from foliant.streaming.sync_manager import SyncManager
@@ -270,6 +270,63 @@ noted(
 )
 
 
+class Recomputer:
+    """The least that a reactive framework is: it runs a function, and again when what that has read changes."""
+
+    def __init__(self) -> None:
+        self.now, self.made, self.ends = None, [], []
+
+    def create(self) -> Recomputer:
+        return self
+
+    def is_in_scope(self) -> bool:
+        return self.now is not None
+
+    def on_dispose(self, f: Callable[[], Any], dependency: Any) -> None:
+        self.ends.append(f)
+
+    def depend(self) -> None:
+        self.made.append(self.now)
+
+    def notify(self) -> None:
+        for end in self.ends:
+            end()
+        again, self.made, self.ends = list(self.made), [], []
+        for f in again:
+            self.compute(f)
+
+    def compute(self, f: Callable[[], Any]) -> None:
+        self.now = f
+        try:
+            f()
+        finally:
+            self.now = None
+
+
+def recomputed(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    r, heard = Recomputer(), []
+    c = Collection(table(spark, sf_dir, "nation"), key="n_nationkey", reactivity=r)
+    r.compute(lambda: heard.append(c.find({"n_regionkey": 1}).count()))
+    c.update_many({"n_regionkey": 2}, {"$set": {"n_name": "elsewhere"}})
+    c.remove_one({"n_regionkey": 1})
+    c.insert({"n_nationkey": -1, "n_regionkey": 1})
+    r.compute(lambda: c.find({}, reactive=False))
+    c.insert({"n_nationkey": -2, "n_regionkey": 3})
+    return list(enumerate(heard))
+
+
+noted("reactivity", "SELECT nth, n - (nth = 1)::INT AS n FROM (SELECT count(*) AS n FROM nation WHERE n_regionkey = 1), (VALUES (0), (1), (2)) t(nth)", "nth int, n long", recomputed)
+
+
+@query("store_of_functions", AFTER)
+def store_of_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = states(spark, sf_dir)
+    held: dict[str, DataFrame] = {"df": before}
+    store = create_store(lambda: C.Load(items=held["df"]), lambda items, changes: held.update(df=items))
+    store.save(after, C.diff(before, after))
+    return store.load().items
+
+
 def lived(spark: SparkSession, sf_dir: str) -> list[tuple]:
     heard: list[tuple] = []
     made, gone = (lambda c: heard.append(("created", c.name))), (lambda c: heard.append(("disposed", c.name)))

@@ -68,6 +68,26 @@ class IndexProvider(Protocol):
         """The collection's items are now ``df``."""
 
 
+class Dependency(Protocol):
+    def depend(self) -> None:
+        """Whatever is being computed now depends on this."""
+
+    def notify(self) -> None:
+        """It has changed: compute it again."""
+
+
+class Reactivity(Protocol):
+    """What connects live queries to a framework that computes things anew when their inputs change."""
+
+    def create(self) -> Dependency: ...
+
+    def is_in_scope(self) -> bool:
+        """Whether something is being computed now that could depend on a query."""
+
+    def on_dispose(self, f: Callable[[], Any], dependency: Dependency) -> None:
+        """Call ``f`` when nothing depends on it any more."""
+
+
 class Cursor:
     """A lazy result: filter, sort, skip, limit, transform_all, fields, transform, in that order."""
 
@@ -198,14 +218,15 @@ class Collection:
         """Effects follow only the fields that they have read; without it, all fields."""
         self.tracking = enable
 
-    def __init__(self, df: DataFrame, name: str = "", key: str = "id", order: list[str] | None = None, key_generator: Callable[[], Any] | None = None, transform=None, transform_all=None, rules: dict[str, Column] | None = None, indexes: list[IndexProvider] | None = None) -> None:
-        """rules: name -> boolean Column that every written row must satisfy. order: columns of the insertion order."""
+    def __init__(self, df: DataFrame, name: str = "", key: str = "id", order: list[str] | None = None, key_generator: Callable[[], Any] | None = None, transform=None, transform_all=None, rules: dict[str, Column] | None = None, indexes: list[IndexProvider] | None = None, reactivity: Reactivity | None = None) -> None:
+        """reactivity: connects finds to a framework of reactive computations, unless they say ``reactive=False``. rules: name -> boolean Column that every written row must satisfy. order: columns of the insertion order."""
         self.spark, self.key, self.name = df.sparkSession, key, name
         self.key_generator = key_generator or (lambda: uuid.uuid4().hex)
         self.transform, self.transform_all, self.rules = transform, transform_all, rules or {}
         self.handlers: dict[str, list[Callable[..., Any]]] = defaultdict(list)
         self.observers: list[Observer] = []
         self.disposed, self.batching, self.version, self.pending = False, False, 0, []
+        self.reactivity = reactivity
         self.debug, self.tracking = Collection.debug_default, Collection.tracking_default
         self.order = order or [key]
         self.df = self._ordered(df)
@@ -229,12 +250,18 @@ class Collection:
 
     def find(self, selector: dict | None = None, **options: Any) -> Cursor:
         self._open()
+        reactive = options.pop("reactive", True) and self.reactivity is not None and self.reactivity.is_in_scope()
         options.setdefault("transform", self.transform)
         options.setdefault("transform_all", self.transform_all)
         self.emit("find", selector, options)
         out = Cursor(lambda: self._source(selector), selector, key=self.key, **options)
         if self.debug:
             self.emit("_debug.find", selector, options, out.to_df()._jdf.queryExecution().simpleString())
+        if reactive:
+            dependency = self.reactivity.create()
+            watch = self._live(Effect(out._shown, lambda items: None, order_columns(out._shown().schema, out.sort), self.key, changed=dependency.notify))
+            self.reactivity.on_dispose(watch.cleanup, dependency)
+            dependency.depend()
         return out
 
     def find_one(self, selector: dict | None = None, **options: Any) -> Any:

@@ -62,6 +62,31 @@ class MemoryStore(BaseStore):
         self.df = items
 
 
+def create_store(load: Callable[[], Load], save: Callable[[DataFrame, DataFrame | None], None] | None = None, register: Callable[[Callable[..., None]], None] | None = None, unregister: Callable[[], None] | None = None) -> BaseStore:
+    """A store made of functions; without ``save`` it is read-only."""
+
+    class Made(BaseStore):
+        def load(self) -> Load:
+            return load()
+
+        def save(self, items: DataFrame, changes: DataFrame | None = None) -> None:
+            if save is None:
+                raise RuntimeError("this store cannot be written")
+            save(items, changes)
+
+        def register(self, on_change: Callable[..., None]) -> None:
+            super().register(on_change)
+            if register:
+                register(on_change)
+
+        def unregister(self) -> None:
+            super().unregister()
+            if unregister:
+                unregister()
+
+    return Made()
+
+
 class VersionedStore(BaseStore):
     """Parquet or JSON states below a folder, named by a pointer that is written last."""
 

@@ -153,9 +153,14 @@ class Effect:
     With tracking it depends on the items, their order and the fields that its last run has read, otherwise on all.
     """
 
-    def __init__(self, run: Callable[[], DataFrame], f: Callable[[list[Tracked]], Any], order: list[Column], key: str = "id") -> None:
+    def __init__(self, run: Callable[[], DataFrame], f: Callable[[list[Tracked]], Any], order: list[Column], key: str = "id", changed: Callable[[], Any] | None = None) -> None:
+        """changed: called instead of ``f``, without reading any item."""
         self.query, self.f, self.order, self.key, self.tracking, self.active = run, f, order, key, False, True
-        self._run(run())
+        self.changed = changed
+        self.read: set[str] = set()
+        self.last = run()
+        if not changed:
+            self._run(self.last)
 
     def _run(self, df: DataFrame) -> None:
         self.read: set[str] = set()
@@ -171,7 +176,11 @@ class Effect:
         a, b = own(self.last), own(new)
         placed = bool(self.order) and all(c in b.columns for c in new.columns)
         if a.columns != b.columns or not events(a, b, [*self.order, F.col(self.key)] if placed else [F.col(self.key)], self.key, placed).isEmpty():
-            self._run(new)
+            if self.changed:
+                self.last = new
+                self.changed()
+            else:
+                self._run(new)
 
     def cleanup(self) -> None:
         self.active = False
