@@ -84,24 +84,24 @@ def fit(sample: np.ndarray, stages: int = STAGES, codewords: int = CODEWORDS, ro
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rows x stages) and squared norms of the coded sums, by beam search."""
+    """Codes (rows x stages) and squared norms of the coded sums, by beam search; it searches in single precision."""
     n, stages, k = len(x), len(books), books.shape[1]
-    codes, sums = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1, x.shape[1]))
-    for book in books:
-        left = x[:, None, :] - sums
+    near, words = x.astype(np.float32), books.astype(np.float32)
+    codes, sums = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1, x.shape[1]), np.float32)
+    rows = np.arange(n)[:, None]
+    for book in words:
+        left = near[:, None, :] - sums
         cost = (left**2).sum(2)[:, :, None] - 2 * left @ book.T + (book**2).sum(1)
         width = min(beam, cost.shape[1] * k)
         flat = cost.reshape(n, -1)
         best = np.argpartition(flat, width - 1, axis=1)[:, :width]
         which, word = best // k, best % k
-        rows = np.arange(n)[:, None]
         codes = np.concatenate([codes[rows, which], word[:, :, None]], axis=2)
         sums = sums[rows, which] + book[word]
-    error = ((x[:, None, :] - sums) ** 2).sum(2)
-    pick = error.argmin(1)
-    rows = np.arange(n)
-    assert codes.shape[2] == stages
-    return codes[rows, pick], (sums[rows, pick] ** 2).sum(1)
+    pick = ((near[:, None, :] - sums) ** 2).sum(2).argmin(1)
+    codes = codes[np.arange(n), pick]
+    assert codes.shape[1] == stages
+    return codes, (sum(books[s][codes[:, s]] for s in range(stages)) ** 2).sum(1)
 
 
 @dataclass
