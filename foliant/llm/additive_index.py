@@ -83,6 +83,18 @@ def fit(sample: np.ndarray, stages: int = STAGES, codewords: int = CODEWORDS, ro
     return np.array(books)
 
 
+def least(cost: np.ndarray, k: int, group: int = 32) -> np.ndarray:
+    """Places of each row's k smallest numbers: they lie in the k groups with the smallest minima."""
+    n, m = cost.shape
+    if m % group or m // group <= k:
+        return np.argpartition(cost, k - 1, axis=1)[:, :k]
+    grouped = cost.reshape(n, m // group, group)
+    which = np.argpartition(grouped.min(axis=2), k - 1, axis=1)[:, :k]
+    rows = np.arange(n)[:, None]
+    near = np.argpartition(grouped[rows, which].reshape(n, -1), k - 1, axis=1)[:, :k]
+    return which[rows, near // group] * group + near % group
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Codes (rows x stages) and squared norms of the coded sums, by beam search; it searches in single precision."""
     n, stages, k = len(x), len(books), books.shape[1]
@@ -93,8 +105,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         left = near[:, None, :] - sums
         cost = (left**2).sum(2)[:, :, None] - 2 * left @ book.T + (book**2).sum(1)
         width = min(beam, cost.shape[1] * k)
-        flat = cost.reshape(n, -1)
-        best = np.argpartition(flat, width - 1, axis=1)[:, :width]
+        best = least(cost.reshape(n, -1), width)
         which, word = best // k, best % k
         codes = np.concatenate([codes[rows, which], word[:, :, None]], axis=2)
         sums = sums[rows, which] + book[word]

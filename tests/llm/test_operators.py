@@ -177,6 +177,14 @@ def test_beam_search_beats_greedy_encoding():
     assert np.allclose(norms, (rebuilt(wide) ** 2).sum(1))
 
 
+def test_least_numbers_of_rows():
+    rng = np.random.default_rng(3)
+    for m, k in ((256, 8), (2048, 8), (96, 2), (50, 7), (64, 1), (64, 64)):
+        cost = rng.integers(0, 300, (40, m)).astype(float)
+        at = ann.least(cost, k)
+        assert (np.sort(np.take_along_axis(cost, at, 1), 1) == np.sort(cost, 1)[:, :k]).all() and all(len(set(r)) == k for r in at.tolist())
+
+
 def test_search_in_blocks_equals_one_block(spark, sf):
     rows = ann.valid(spark.read.parquet(f"{sf}/embeddings.parquet"))
     model = ann.train(rows, cells=4)
