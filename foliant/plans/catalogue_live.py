@@ -14,7 +14,7 @@ from foliant.plans.collection import Collection, scratch
 from foliant.plans.persistence import Persisted
 from foliant.plans.registry import query, table
 from foliant.plans.telemetry import Telemetry
-from foliant.sources.stores import BaseStore, JsonFileStore, MemoryStore, ReplicatedStore, TieredStore, VersionedStore, apply_load, create_store
+from foliant.sources.stores import BaseStore, BucketedStore, JsonFileStore, MemoryStore, ReplicatedStore, TieredStore, VersionedStore, apply_load, create_store
 from foliant.streaming.autofetch import AutoFetch
 from foliant.streaming.changelog import read_changelog, replay_stream
 from foliant.streaming.sync_manager import SyncManager
@@ -44,6 +44,7 @@ def stored(name: str, make: Callable[[SparkSession, DataFrame], BaseStore], sql:
 
 stored("store_parquet", lambda spark, df: VersionedStore(spark, scratch(spark), df.schema))
 stored("store_json", lambda spark, df: VersionedStore(spark, scratch(spark), df.schema, "json"))
+stored("store_buckets", lambda spark, df: BucketedStore(spark, scratch(spark), df.schema, buckets=8))
 stored("store_memory", lambda spark, df: MemoryStore(df))
 
 
@@ -206,7 +207,7 @@ def changelog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.lit("update").alias("type"), F.array(F.lit("kind"), F.lit("value")).alias("present"), F.col("event_type").alias("kind"), "value")
     state = log.select("id", "kind", "value").schema
-    store = VersionedStore(spark, f"{folder}/state", state)
+    store = BucketedStore(spark, f"{folder}/state", state, buckets=16)
     ordered = log.repartitionByRange(2, "time").sortWithinPartitions("time", "seq")
     ordered.write.parquet(f"{folder}/log")
     replay_stream(read_changelog(spark, f"{folder}/log", log.schema, 10), store, f"{folder}/checkpoint").awaitTermination()

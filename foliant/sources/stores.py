@@ -6,6 +6,7 @@ folder of its own and then replace a pointer, so that readers never see half a s
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
@@ -13,10 +14,10 @@ from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators.changes import Load, diff, snapshot
+from foliant.operators.changes import Load, diff, replay, snapshot
 
 
 class Store(Protocol):
@@ -116,6 +117,73 @@ class VersionedStore(BaseStore):
             self.fs.delete(self.fs_path(f"{self.folder}/version={v}"), True)
 
 
+class BucketedStore(BaseStore):
+    """A state in Parquet, dealt to buckets by a hash of the key; a change writes only the buckets that it touches.
+
+    A manifest, one line that names each bucket's folder and the last batch that is in them, is written last, so that
+    readers see whole states and a batch counts once, however often it is tried.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema, key: str = "id", buckets: int = 64) -> None:
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder, schema, key, buckets
+        self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, pattern: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.globStatus(self.fs_path(f"{self.folder}/{pattern}")) or [])
+
+    def manifest(self) -> dict:
+        whole = [n for n in self._names("manifest=*") if self._names(f"{n}/_SUCCESS")]
+        return json.loads(self.spark.read.text(f"{self.folder}/{whole[-1]}").first()[0]) if whole else {"version": 0, "batch": -1, "buckets": {}}
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/{f}" for f in sorted(folders)])
+
+    def load(self) -> Load:
+        return Load(items=self._read(list(self.manifest()["buckets"].values())))
+
+    def bucket(self, key: str | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.col(key or self.key).cast(self.schema[self.key].dataType)), F.lit(self.buckets)).cast("int")
+
+    def _put(self, rows: DataFrame, touched: list[int], batch: int | None) -> None:
+        """Replace the touched buckets by ``rows``."""
+        now, name = self.manifest(), f"data-{uuid.uuid4().hex}"
+        names = [f.name for f in self.schema.fields]
+        part = next(n for n in ("__bucket", "__bucket_", "__bucket__") if n not in names)
+        rows.select(*names, self.bucket().alias(part)).write.partitionBy(part).parquet(f"{self.folder}/{name}")
+        kept = {b: f for b, f in now["buckets"].items() if int(b) not in touched}
+        kept |= {n.rpartition("=")[2]: f"{name}/{n}" for n in self._names(f"{name}/{part}=*")}
+        state = {"version": now["version"] + 1, "batch": now["batch"] if batch is None else batch, "buckets": kept}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest={state['version']:010d}")
+        self.changed()
+
+    def save(self, items: DataFrame, changes: DataFrame | None = None) -> None:
+        """With changes (rows of a diff), writes the buckets of their keys; without, all of them."""
+        if changes is None:
+            self._put(items, list(range(self.buckets)), None)
+            return
+        touched = [r[0] for r in changes.select(self.bucket()).distinct().collect()]
+        self._put(items.where(self.bucket().isin(touched)), touched, None)
+
+    def apply_log(self, log: DataFrame, batch: int) -> bool:
+        """Replay a batch of changelog rows on the buckets that they touch; False where it is in the state already."""
+        now = self.manifest()
+        if batch <= now["batch"]:
+            return False
+        touched = [r[0] for r in log.select(self.bucket()).distinct().collect()]  # at most ``buckets``
+        base = self._read([f for b, f in now["buckets"].items() if int(b) in touched])
+        self._put(replay(base, log, self.key), touched, batch)
+        return True
+
+    def vacuum(self) -> None:
+        """Delete the folders that the newest manifest doesn't name, and all older manifests."""
+        held = {f.split("/")[0] for f in self.manifest()["buckets"].values()}
+        for gone in [n for n in self._names("data-*") if n not in held] + self._names("manifest=*")[:-1]:
+            self.fs.delete(self.fs_path(f"{self.folder}/{gone}"), True)
+
+
 class JsonFileStore(BaseStore):
     """One JSON array in a file, with read-modify-write: upsert added and modified, ignore unknown removals.
 

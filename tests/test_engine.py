@@ -8,7 +8,7 @@ from foliant.operators import changes as C
 from foliant.operators import modifier as M
 from foliant.operators.projection import project
 from foliant.plans.collection import Collection
-from foliant.sources.stores import JsonFileStore, MemoryStore, ReplicatedStore, TieredStore, VersionedStore, apply_load
+from foliant.sources.stores import BucketedStore, JsonFileStore, MemoryStore, ReplicatedStore, TieredStore, VersionedStore, apply_load
 from foliant.streaming.autofetch import AutoFetch
 from foliant.streaming.changelog import read_changelog, replay_stream
 from foliant.streaming.observe import events
@@ -321,3 +321,19 @@ def test_autofetch_purges_by_time(spark):
     assert len(a.cached) == 1
     o.cleanup()
     a.dispose()
+
+
+def test_bucketed_store_writes_what_a_change_touches(spark, tmp_path):
+    schema = T.StructType.fromDDL("id int, s string")
+    store = BucketedStore(spark, f"{tmp_path}/b", schema, buckets=8)
+    assert store.load().items.isEmpty()
+    store.save(spark.range(200).selectExpr("cast(id as int) AS id", "concat('v', id) AS s"))
+    first = store.manifest()["buckets"]
+    log = spark.createDataFrame([(5, 1, 1, "update", ["s"], "new"), (6, 1, 2, "remove", [], None), (999, 1, 3, "insert", ["s"], "more")], "id int, time int, seq int, type string, present array<string>, s string")
+    assert store.apply_log(log, 0) and not store.apply_log(log, 0)
+    second = store.manifest()["buckets"]
+    assert 0 < sum(first[b] != second.get(b) for b in first) <= 3
+    want = {i: f"v{i}" for i in range(200) if i != 6} | {5: "new", 999: "more"}
+    assert dict(map(tuple, store.load().items.collect())) == want
+    store.vacuum()
+    assert dict(map(tuple, store.load().items.collect())) == want and len(store._names("manifest=*")) == 1
