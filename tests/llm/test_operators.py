@@ -49,14 +49,14 @@ def sf(spark, tmp_path_factory):
         docs = docs.withColumn(name, F.lit(None).cast(kind) if kind == "binary" else F.lit("7").cast(kind))
     docs.repartition(3).write.parquet(f"{top}/documents.parquet")
     labels = [(i, 1, int(bool(t) and "moron" in t)) for i, t, _ in CORPUS if i is not None and i < 200] + [(None, 1, 1), (3, None, None), (4, 0, 0)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
-    spark.createDataFrame([(1, ITEM), (2, None), (3, "zqx no such"), (None, "a text without an id that is long enough to be searched for")], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumns({"text": F.lit("x"), "lang": F.lit("en"), "score": F.lit("y"), "__k0": F.lit(1)}).write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None), (3, "zqx no such"), (None, "a text without an id that is long enough to be searched for")], "item_id long, text string").withColumns({"doc_id": F.lit("x"), "n_regions": F.lit(1), "__k0": F.lit(1)}).write.parquet(f"{top}/benchmark.parquet")
     rng = np.random.default_rng(1)
     v = rng.normal(size=(400, 16))
     v[50:60] = v[0]
     rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)] + [(500, None, 1), (600, [0.0] * 16, 1), (700, [float("nan")] * 16, 1), (800, [None] + [1.0] * 15, 1), (900, [1.0], 1), (None, [1.0] * 16, 1), (100, [float(x) for x in v[7]], 2)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("v", F.lit(1)).write.parquet(f"{top}/embeddings.parquet")
-    spark.createDataFrame([(1, "u", "<article><p>Hi, there</p></article>"), (2, None, None), (None, "w", ""), (3, "x", "<nav>menu</nav>"), (3, "x", "plain &amp; simple")], "page_id long, url string, html string").withColumn("text", F.lit("t")).write.parquet(f"{top}/pages.parquet")
+    spark.createDataFrame([(1, "u", "<article><p>Hi, there</p></article>"), (2, None, None), (None, "w", ""), (3, "x", "<nav>menu</nav>"), (3, "x", "plain &amp; simple")], "page_id long, url string, html string").withColumns({"text": F.lit("t"), "n_chars": F.lit("n"), "doc_id": F.lit(1)}).write.parquet(f"{top}/pages.parquet")
     return top
 
 
@@ -106,6 +106,23 @@ def test_noisy_or_matches_its_definition():
     assert n == 4 and score == pytest.approx(1 - (1 - p(-1.0)) ** 2 * (1 - p(-4.0)) ** 2) and not found and score < 0.5
 
 
+def test_scores_equal_the_plain_definition(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_sentences"], r["score"]) for r in toxicity.score(docs, model, ["doc_id"]).collect())
+    want = []
+    for i, t, _ in CORPUS:
+        ps = []
+        for sentence_ in toxicity.re.split(r"(?<=[.!?])(?![.!?])|\n", t or ""):
+            words = set(toxicity.re.findall(r"[^\W_]+", sentence_.lower()))
+            if words:
+                features = {x for w in words for x in ({f"^{w}$"} | {f"^{w}$"[a : a + n] for n in (4, 5, 6) for a in range(len(w) + 3 - n)}) if x in model.weights}
+                ps.append(1 / (1 + np.exp(-(model.bias + sum(model.weights[x] for x in features)))))
+        want.append((-1 if i is None else i, len(ps), max((1 - np.prod([1 - p for p in ps[a : a + 32]]) for a in range(max(1, len(ps) - 31))), default=0.0)))
+    want.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-9)
+
+
 def test_a_marked_document_has_a_located_sentence():
     rnd = random.Random(5)
     m = toxicity.Model({"^dull$": 2.6, "^vile$": 6.0, "^grim$": 3.4}, -4.0)
